@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
-
+from linkspark.llm.fold import consistent_sql, disguised, with_consistent
 from linkspark.llm.packing import containers, pack_documents
 from linkspark.llm.tokenizer import count_tokens, decode, encode
 from linkspark.sources.tables import table
@@ -13,11 +12,25 @@ def _documents(spark, d):
     return table(spark, d, "documents")
 
 
+def _companies(spark, d):
+    return table(spark, d, "companies")
+
+
 def _split_documents(spark, d):
     return pack_documents(_documents(spark, d)).where("n_parts > 1").select("doc_id").distinct()
 
 
+_FIELDS = ("name", "name_normalized", "address")
+_VALUES = "(" + " UNION ALL ".join(f"SELECT id, '{f}' AS field_name, {f} AS v FROM companies WHERE {f} IS NOT NULL" for f in _FIELDS) + ")"
+
+
+def _consistent(spark, d):
+    return with_consistent(_companies(spark, d).select("id", *_FIELDS), _FIELDS)
+
+
 QUERIES = {
+    "p4_found": lambda s, d: disguised(_companies(s, d)),
+    "p4_consistent": _consistent,
     "p6_ids": lambda s, d: encode(_documents(s, d)),
     "p6_counts": lambda s, d: count_tokens(_documents(s, d)),
     "p6_round_trip": lambda s, d: decode(encode(_documents(s, d))),
@@ -27,5 +40,9 @@ QUERIES = {
 }
 
 ORACLES = {
+    # the embedded SQL over the whole table at once, without Spark's partitions and batches
+    "p4_found": f"SELECT id, field_name FROM ({consistent_sql(_VALUES, 'id, field_name')}) WHERE w <> v",
+    "p4_consistent": f"""PIVOT (SELECT id, field_name, w FROM ({consistent_sql(_VALUES, 'id, field_name')}))
+                         ON field_name IN ('name', 'name_normalized', 'address') USING max(w) GROUP BY id""",
     "p6_round_trip": "SELECT doc_id, coalesce(text, '') AS text FROM documents",
 }
