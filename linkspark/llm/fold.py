@@ -144,7 +144,7 @@ def consistent_values(df: DataFrame, id_column: str, fields: Sequence[str]) -> D
         for b in batches:
             batch = pa.Table.from_batches([pa.RecordBatch.from_arrays(b.columns, ["k", *[f"f{i}" for i in range(len(names))]])])
             con.register("batch", batch)
-            out = con.execute(sql).to_arrow_table()
+            out = con.sql(sql).to_arrow_table()
             con.unregister("batch")
             schema = pa.schema([(id_column, b.schema.field(0).type), ("field_name", pa.string()), ("value", pa.string()), ("consistent", pa.string())])
             yield from out.rename_columns(schema.names).cast(schema).to_batches()
@@ -166,7 +166,7 @@ def with_consistent(df: DataFrame, fields: Sequence[str]) -> DataFrame:
             at = [b.schema.get_field_index(n) for n in names]
             batch = pa.table([pa.array(range(b.num_rows), pa.int64()), *[b.column(i).cast(pa.string()) for i in at]], names=["k", *[f"f{i}" for i in range(len(names))]])
             con.register("batch", batch)
-            k, f, w = (c.to_pylist() for c in con.execute(sql).to_arrow_table().columns)
+            k, f, w = (c.to_pylist() for c in con.sql(sql).to_arrow_table().columns)
             con.unregister("batch")
             new = [[None] * b.num_rows for _ in names]
             for x, y, z in zip(k, f, w):

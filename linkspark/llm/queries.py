@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from linkspark.llm.addresses import places, same_place
 from linkspark.llm.fold import consistent_sql, disguised, with_consistent
 from linkspark.llm.packing import containers, pack_documents
 from linkspark.llm.tokenizer import count_tokens, decode, encode
@@ -29,6 +30,8 @@ def _consistent(spark, d):
 
 
 QUERIES = {
+    "p2_found": lambda s, d: same_place(_companies(s, d), table(s, d, "prefectures")),
+    "p2_places": lambda s, d: places(_companies(s, d), table(s, d, "prefectures")),
     "p4_found": lambda s, d: disguised(_companies(s, d)),
     "p4_consistent": _consistent,
     "p6_ids": lambda s, d: encode(_documents(s, d)),
