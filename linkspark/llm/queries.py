@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from linkspark.llm.addresses import places, same_place
 from linkspark.llm.fold import consistent_sql, disguised, with_consistent
+from linkspark.llm.names import organisations, same_organisation
 from linkspark.llm.packing import containers, pack_documents
 from linkspark.llm.tokenizer import count_tokens, decode, encode
 from linkspark.sources.tables import table
@@ -30,6 +31,8 @@ def _consistent(spark, d):
 
 
 QUERIES = {
+    "p1_found": lambda s, d: same_organisation(_companies(s, d)),
+    "p1_organisations": lambda s, d: organisations(_companies(s, d)),
     "p2_found": lambda s, d: same_place(_companies(s, d), table(s, d, "prefectures")),
     "p2_places": lambda s, d: places(_companies(s, d), table(s, d, "prefectures")),
     "p4_found": lambda s, d: disguised(_companies(s, d)),

@@ -17,7 +17,7 @@ MOST_READINGS = 4
 # Hepburn spellings and the plainer ones they are folded to, in the order in which they are replaced.
 FOLDS = [
     ("tch", "ch"), ("shi", "si"), ("sh", "sy"), ("chi", "ti"), ("ch", "ty"), ("tsu", "tu"), ("ji", "zi"), ("j", "zy"),
-    ("fu", "hu"), ("dzu", "zu"), ("du", "zu"), ("di", "zi"), ("mb", "nb"), ("mp", "np"), ("mm", "nm"),
+    ("ck", "k"), ("c", "k"), ("fu", "hu"), ("dzu", "zu"), ("du", "zu"), ("di", "zi"), ("mb", "nb"), ("mp", "np"), ("mm", "nm"),
 ]
 _FOLD = [(re.compile(a), b) for a, b in FOLDS]
 _LONG = re.compile(r"(.)\1+")
