@@ -7,6 +7,7 @@ from linkspark.llm.fold import consistent_sql, disguised, with_consistent
 from linkspark.llm.names import organisations, same_organisation
 from linkspark.llm.packing import containers, pack_documents
 from linkspark.llm.tokenizer import count_tokens, decode, encode
+from linkspark.llm.toxicity import rates, score
 from linkspark.sources.tables import table
 
 
@@ -14,6 +15,10 @@ def _documents(spark, d):
     return table(spark, d, "documents")
 
 
+def _scored(spark, d):
+    return score(_documents(spark, d), table(spark, d, "toxicity_labels"))
+
+
 def _companies(spark, d):
     return table(spark, d, "companies")
 
@@ -42,6 +47,9 @@ QUERIES = {
     "p6_round_trip": lambda s, d: decode(encode(_documents(s, d))),
     "p7_found": _split_documents,
     "p7_packing": lambda s, d: pack_documents(_documents(s, d)),
+    "p8_found": lambda s, d: _scored(s, d).where("unwanted").select("doc_id"),
+    "p8_scores": _scored,
+    "p8_rates": lambda s, d: rates(_scored(s, d)),
     "p7_containers": lambda s, d: containers(pack_documents(_documents(s, d))),
 }
 
