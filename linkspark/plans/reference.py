@@ -1,0 +1,236 @@
+"""Driver queries over the operators on names and registries, and the SQL that says the same."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from linkspark.functions import phonetic, romaji, similarity, text
+from linkspark.operators.blocking import candidates, ngram_index, phonetic_block, trigram_block
+from linkspark.operators.entity_types import COMPANY
+from linkspark.operators.forms import with_query_forms
+from linkspark.operators.resolver import Resolver, compare, unmatched, validated
+from linkspark.operators.service import batch_results
+from linkspark.settings import ResolverSettings
+from linkspark.sources.registry import latest_lines, prepare_entities, registry_rows, stats
+from linkspark.sources.tables import cut, table
+
+SETTINGS = ResolverSettings()
+
+
+def _companies(s, d):
+    return table(s, d, "companies")
+
+
+def _postings(s, d):
+    """The n-gram index as it should be: a set of postings, repeated rows once."""
+    return table(s, d, "company_ngrams").select(F.col("company_id").alias("entity_id"), "ngram", "source_field").distinct()
+
+
+def _requests(s, d):
+    return validated(table(s, d, "search_requests"), SETTINGS)
+
+
+def _resolver(s, d):
+    return Resolver(_companies(s, d), _postings(s, d), COMPANY, SETTINGS)
+
+
+def _ascii(c):
+    return F.regexp_replace(c, "[^\\x20-\\x7e]", "")
+
+
+def _name_pairs(s, d):
+    """Each English name beside the part name whose key follows from the company's id; ASCII on both sides."""
+    left = _companies(s, d).where("en_name IS NOT NULL").select("id", _ascii(F.col("en_name")).alias("a"))
+    right = left.select((F.col("id") - 1).alias("id"), F.col("a").alias("b"))
+    return left.join(right, "id")
+
+
+def _suffixed(s, d, forms, japanese):
+    n = len(forms)
+    listed = F.array(*[F.lit(x) for x in forms])
+    form = F.get(listed, (F.col("s_suppkey") % n).cast("int"))
+    name = F.col("s_name")
+    text_ = F.when(F.col("s_suppkey") % 2 == 0, F.concat(form, name)).otherwise(F.concat(name, form)) if japanese else F.concat(name, F.lit(" "), form)
+    return table(s, d, "supplier").select("s_suppkey", text_.alias("t"))
+
+
+def _strip(df, forms):
+    t = text.strip(F.col("t"))
+    return df.select("s_suppkey", "t", text.strip_forms(t, F.lower(t), forms).alias("stripped"))
+
+
+def _forms(s, d):
+    asked = _requests(s, d).where("status = 'ok'").groupBy("text").agg(F.min("query_id").alias("query_id"))
+    return with_query_forms(asked, "text")
+
+
+def _lookup(s, d):
+    """Queries in the stored normalised form, so that SQL can say the same: distinct texts of requests, in lower case."""
+    t = F.trim(F.regexp_replace(F.lower("query_text"), "[ \\t\\n]+", " "))
+    return table(s, d, "search_requests").where("query_text IS NOT NULL AND length(query_text) <= 200").select(t.alias("q_normalized"), "query_id").where("q_normalized <> ''").groupBy("q_normalized").agg(F.min("query_id").alias("query_id"))
+
+
+def _lookup_forms(s, d):
+    q = _lookup(s, d)
+    return q.select("query_id", "q_normalized", F.replace(F.col("q_normalized"), F.lit(" "), F.lit("")).alias("q_romaji"), phonetic.phonetic_key(F.col("q_normalized")).alias("q_phonetic"))
+
+
+def _explained(s, d):
+    out = _resolver(s, d).matches(_requests(s, d), explain=True)
+    return out.select("query_id", "rank", "entity_id", F.size("explanations").alias("n_steps"), F.to_json("explanations").alias("steps"))
+
+
+def _resolved(s, d):
+    return _resolver(s, d).matches(_requests(s, d)).select("query_id", "rank", "entity_id", "entity_name", F.round("score", 6).alias("score"), "band", "best_strategy")
+
+
+def _compared(s, d):
+    pairs = _companies(s, d).where("en_name IS NOT NULL").select("id", F.col("name").alias("name_a"), F.col("en_name").alias("name_b"))
+    out = compare(pairs)
+    scores = [F.round(F.get("strategy_results", F.lit(i)).getField("score"), 6).alias(n) for i, n in enumerate(("jaro_winkler", "levenshtein", "token_sort", "phonetic"))]
+    return out.select("id", F.round("final_score", 6).alias("final_score"), *scores, "best_strategy")
+
+
+QUERIES = {
+    "collapse_ws": lambda s, d: _companies(s, d).where("name IS NOT NULL").select("id", text.collapse_spaces(F.col("name")).alias("t")),
+    "strip_suffix_en": lambda s, d: _strip(_suffixed(s, d, text.ENGLISH_FORMS, False), text.ENGLISH_FORMS),
+    "strip_suffix_ja": lambda s, d: _strip(_suffixed(s, d, text.JAPANESE_FORMS, True), text.JAPANESE_FORMS),
+    "normalize_name": lambda s, d: text.with_normalized(_companies(s, d).select("id", "name"), "name", "normalized"),
+    "normalize_japanese": lambda s, d: text.with_normalized_japanese(_companies(s, d).select("id", "name"), "name", "normalized"),
+    "normalize_english": lambda s, d: text.with_normalized_english(_companies(s, d).select("id", "en_name"), "en_name", "normalized"),
+    "removed_suffixes": lambda s, d: _strip(_suffixed(s, d, text.ENGLISH_FORMS, False), text.ENGLISH_FORMS).select("s_suppkey", F.array_join(text.removed_forms(F.lower("t"), F.lower("stripped"), text.ENGLISH_FORMS), "|").alias("removed")),
+    "trigrams": lambda s, d: _companies(s, d).where("name_normalized <> ''").select("id", F.explode(text.trigrams(F.col("name_normalized"))).alias("gram")),
+    "language_detect": lambda s, d: _companies(s, d).select("id", text.detect_language(F.col("name")).alias("language"), text.is_japanese(F.col("name")).alias("japanese"), text.is_ideograph(F.col("name")).alias("ideograph")),
+    "script_detect": lambda s, d: _companies(s, d).select("id", text.script(F.col("name")).alias("script")),
+    "kana_romaji": lambda s, d: _companies(s, d).where("furigana IS NOT NULL").select("id", romaji.to_romaji(F.col("furigana")).alias("romaji")),
+    "romaji_variants": lambda s, d: _companies(s, d).where("name_romaji IS NOT NULL").select("id", F.array_join(romaji.romaji_variants(F.col("name_romaji")), ",").alias("variants")),
+    "phonetic_key": lambda s, d: _companies(s, d).select("id", phonetic.phonetic_key(F.col("name_romaji")).alias("key")),
+    "sim_levenshtein": lambda s, d: _name_pairs(s, d).select("id", F.round(similarity.levenshtein(F.col("a"), F.col("b")), 6).alias("score")),
+    "sim_jaro_winkler": lambda s, d: _name_pairs(s, d).select("id", F.round(similarity.jaro_winkler(F.col("a"), F.col("b")), 6).alias("score")),
+    "sim_token_sort": lambda s, d: _name_pairs(s, d).select("id", F.round(similarity.token_sort(F.col("a"), F.col("b")), 6).alias("score")),
+    "sim_phonetic": lambda s, d: _name_pairs(s, d).select("id", F.round(phonetic.phonetic_similarity(F.col("a"), F.col("b")), 6).alias("score")),
+    "ensemble_compare": _compared,
+    "query_forms": lambda s, d: _forms(s, d).select("query_id", "q_language", "q_script", "q_normalized", "q_romaji", "q_phonetic", F.array_join("q_variants", ",").alias("q_variants"), F.array_join("q_suffixes_removed", ",").alias("q_removed")),
+    "ngram_index": lambda s, d: ngram_index(_companies(s, d), COMPANY.ngram_fields).groupBy("source_field", "ngram").count().withColumnRenamed("count", "n"),
+    "trigram_block_topk": lambda s, d: trigram_block(_lookup(s, d), "q_normalized", _postings(s, d), SETTINGS.trigram_candidate_limit),
+    "phonetic_block_topk": lambda s, d: phonetic_block(_lookup_forms(s, d), "q_phonetic", _companies(s, d), SETTINGS.phonetic_candidate_limit),
+    "candidates_union": lambda s, d: candidates(_lookup_forms(s, d), _companies(s, d), _postings(s, d), SETTINGS).select("query_id", "entity_id", "channel", "channel_rank", "cand_ord"),
+    "request_validation": lambda s, d: _requests(s, d).select("query_id", "limit", "status", "error"),
+    "resolve_topk": _resolved,
+    "explain_running": _explained,
+    "batch_resolve": lambda s, d: batch_results(_resolver(s, d), table(s, d, "search_requests")).select("query_id", F.size("matches").alias("n_matches"), "total_candidates", "status", "error"),
+    "score_bands": lambda s, d: _resolved(s, d).groupBy("band").count().withColumnRenamed("count", "n"),
+    "unmatched_anti": lambda s, d: unmatched(_requests(s, d), cut(_resolver(s, d).matches(_requests(s, d)).select("query_id"))).select("query_id", "status"),
+    "registry_stats": lambda s, d: stats({"company": (_companies(s, d), table(s, d, "company_ngrams"))}),
+    "ingest_first_wins": lambda s, d: latest_lines(registry_rows(table(s, d, "registry_rows"))),
+    "ingest_prepared": lambda s, d: prepare_entities(latest_lines(registry_rows(table(s, d, "registry_rows")))),
+}
+
+
+def _sql_list(forms):
+    return "[" + ", ".join("'" + f + "'" for f in forms) + "]"
+
+
+_WS = "[\\s\\p{Z}\\x{1C}-\\x{1F}\\x{85}]"
+
+
+def _sql_strip(t, forms, folded):
+    cases = []
+    for f in forms:
+        k = len(f)
+        before, behind = f"trim(substring({t}, 1, greatest(length({t}) - {k}, 0)))", f"trim(substring({t}, {k + 1}))"
+        cases += [f"WHEN ends_with({folded}, '{f}') AND length({t}) > {k} AND {before} <> '' THEN {before}", f"WHEN starts_with({folded}, '{f}') AND length({t}) > {k} AND {behind} <> '' THEN {behind}"]
+    return "CASE " + " ".join(cases) + f" ELSE {t} END"
+
+
+_EN = f"SELECT s_suppkey, s_name || ' ' || list_extract({_sql_list(text.ENGLISH_FORMS)}, CAST(s_suppkey % {len(text.ENGLISH_FORMS)} AS INT) + 1) AS t FROM supplier"
+_JA_FORM = f"list_extract({_sql_list(text.JAPANESE_FORMS)}, CAST(s_suppkey % {len(text.JAPANESE_FORMS)} AS INT) + 1)"
+_JA = f"SELECT s_suppkey, CASE WHEN s_suppkey % 2 = 0 THEN {_JA_FORM} || s_name ELSE s_name || {_JA_FORM} END AS t FROM supplier"
+_EN_STRIPPED = f"SELECT s_suppkey, t, {_sql_strip('t', text.ENGLISH_FORMS, 'lower(t)')} AS stripped FROM ({_EN})"
+
+
+def _sql_key(t):
+    letters = f"lower(regexp_replace(coalesce({t}, ''), '[^a-zA-Z]', '', 'g'))"
+    digits = f"translate({letters}, 'aeiouhwybfpvcgjkqsxzdtlrmn', '00000000111122222222334455')"
+    for c in "012345":
+        digits = f"regexp_replace({digits}, '{c}+', '{c}', 'g')"
+    return f"CASE WHEN {letters} = '' THEN '' ELSE rpad(substring(upper({letters}[1]) || replace(substring({digits}, 2), '0', ''), 1, 6), 6, '0') END"
+
+
+_GRAMS = "list_distinct(list_transform(range(1, length(T) + 1), lambda i: substring('$' || T || '$', i, 3)))"
+_PAIRS = """pairs AS (SELECT l.id, l.a, r.a AS b FROM
+  (SELECT id, regexp_replace(en_name, '[^\\x20-\\x7e]', '', 'g') AS a FROM companies WHERE en_name IS NOT NULL) l
+  JOIN (SELECT id - 1 AS id, regexp_replace(en_name, '[^\\x20-\\x7e]', '', 'g') AS a FROM companies WHERE en_name IS NOT NULL) r ON l.id = r.id)"""
+_LOOKUP = """lookup AS (SELECT q_normalized, min(query_id) AS query_id FROM (
+  SELECT trim(regexp_replace(lower(query_text), '[ \\t\\n]+', ' ', 'g')) AS q_normalized, query_id FROM search_requests
+  WHERE query_text IS NOT NULL AND length(query_text) <= 200) WHERE q_normalized <> '' GROUP BY q_normalized)"""
+_FORMS = f"{_LOOKUP}, forms AS (SELECT query_id, q_normalized, replace(q_normalized, ' ', '') AS q_romaji, {_sql_key('q_normalized')} AS q_phonetic FROM lookup)"
+_POSTINGS = "postings AS (SELECT DISTINCT company_id AS entity_id, ngram, source_field FROM company_ngrams)"
+
+
+def _sql_block(source, t):
+    return f"""SELECT query_id, entity_id, match_count, rank FROM (
+      SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY match_count DESC, entity_id) AS rank FROM (
+        SELECT query_id, entity_id, count(*) AS match_count FROM
+          (SELECT query_id, unnest({_GRAMS.replace('T', t)}) AS ngram FROM {source}) JOIN postings USING (ngram) GROUP BY ALL)) WHERE rank <= 200"""
+
+
+_PHONETIC = """SELECT query_id, entity_id, rank FROM (SELECT query_id, substring(q_phonetic, 1, 4) AS p FROM forms WHERE q_phonetic <> '')
+  JOIN (SELECT id AS entity_id, substring(phonetic_key, 1, 4) AS p,
+               row_number() OVER (PARTITION BY substring(phonetic_key, 1, 4) ORDER BY id) AS rank FROM companies WHERE phonetic_key <> '') USING (p)
+  WHERE rank <= 100"""
+
+
+def _count(inside):
+    inside = inside.replace("\\x{", "\\x{")
+    return f"len(regexp_extract_all(t, '[{inside}]'))"
+
+
+_JAPANESE = f"[{text.HIRAGANA}{text.KATAKANA}{text.IDEOGRAPHS}]"
+
+ORACLES = {
+    "collapse_ws": f"SELECT id, trim(regexp_replace(name, '{_WS}+', ' ', 'g')) AS t FROM companies WHERE name IS NOT NULL",
+    "strip_suffix_en": _EN_STRIPPED,
+    "strip_suffix_ja": f"SELECT s_suppkey, t, {_sql_strip('t', text.JAPANESE_FORMS, 't')} AS stripped FROM ({_JA})",
+    "removed_suffixes": f"""SELECT s_suppkey, coalesce(array_to_string(list_filter({_sql_list(text.ENGLISH_FORMS)},
+        lambda f: contains(lower(t), f) AND NOT contains(lower(stripped), f)), '|'), '') AS removed FROM ({_EN_STRIPPED})""",
+    "trigrams": f"SELECT id, unnest({_GRAMS.replace('T', 'name_normalized')}) AS gram FROM companies WHERE name_normalized <> ''",
+    "language_detect": f"""SELECT id, CASE WHEN regexp_replace(coalesce(name, ''), '{_WS}', '', 'g') = '' THEN 'unknown'
+        WHEN regexp_matches(name, '{_JAPANESE}') THEN 'ja' WHEN regexp_matches(name, '[{text.LATIN_LETTERS}]') THEN 'en' ELSE 'unknown' END AS language,
+        regexp_matches(name, '{_JAPANESE}') AS japanese, regexp_matches(name, '[{text.IDEOGRAPHS}]') AS ideograph FROM companies""",
+    "script_detect": f"""SELECT id, CASE WHEN length(t) = 0 THEN 'latin' WHEN {_count(text.HIRAGANA)} >= 0.8 * length(t) THEN 'hiragana'
+        WHEN {_count(text.KATAKANA)} >= 0.8 * length(t) THEN 'katakana' WHEN {_count(text.IDEOGRAPHS)} >= 0.8 * length(t) THEN 'kanji'
+        WHEN {_count(text.LATIN)} >= 0.8 * length(t) THEN 'latin' ELSE 'mixed' END AS script
+        FROM (SELECT id, regexp_replace(coalesce(name, ''), '[\\s\\p{{Z}}\\x{{1C}}-\\x{{1F}}\\x{{85}}\\p{{P}}]', '', 'g') AS t FROM companies)""",
+    "phonetic_key": f"SELECT id, {_sql_key('name_romaji')} AS key FROM companies",
+    "romaji_variants": """SELECT id, array_to_string(list_reduce(list_transform([name_romaji,
+        replace(replace(replace(replace(replace(replace(replace(name_romaji,'ou','o'),'oo','o'),'uu','u'),'ii','i'),'ei','e'),'ee','e'),'aa','a'),
+        replace(name_romaji,'ou','o'), replace(name_romaji,'oo','o'), replace(name_romaji,'uu','u'), replace(name_romaji,'ii','i'),
+        replace(name_romaji,'ei','e'), replace(name_romaji,'ee','e'), replace(name_romaji,'aa','a'),
+        regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(name_romaji,'aa+$','a'),'ii+$','i'),'uu+$','u'),'ee+$','e'),'oo+$','o')],
+        lambda x: [x]), lambda s, x: CASE WHEN list_contains(s, x[1]) THEN s ELSE list_concat(s, x) END), ',') AS variants
+        FROM companies WHERE name_romaji <> '' UNION ALL SELECT id, '' FROM companies WHERE name_romaji = ''""",
+    "sim_levenshtein": f"WITH {_PAIRS} SELECT id, round(CASE WHEN greatest(length(a), length(b)) = 0 THEN 1.0 ELSE 1 - levenshtein(lower(a), lower(b))::DOUBLE / greatest(length(a), length(b)) END, 6) AS score FROM pairs",
+    "sim_jaro_winkler": f"WITH {_PAIRS} SELECT id, round(CASE WHEN a = '' AND b = '' THEN 1.0 ELSE jaro_winkler_similarity(lower(a), lower(b)) END, 6) AS score FROM pairs",
+    "sim_phonetic": f"""WITH {_PAIRS}, keyed AS (SELECT id, {_sql_key('a')} AS x, {_sql_key('b')} AS y FROM pairs)
+        SELECT id, round(CASE WHEN x = '' AND y = '' THEN 1.0 WHEN x = '' OR y = '' THEN 0.0
+        ELSE len(list_filter(range(1, 7), lambda i: substring(x, i, 1) = substring(y, i, 1))) / 6.0 END, 6) AS score FROM keyed""",
+    "ngram_index": " UNION ALL ".join(f"SELECT '{f}' AS source_field, ngram, count(*) AS n FROM (SELECT unnest({_GRAMS.replace('T', f)}) AS ngram FROM companies WHERE {f} <> '') GROUP BY ngram" for f in COMPANY.ngram_fields),
+    "trigram_block_topk": f"WITH {_LOOKUP}, {_POSTINGS} {_sql_block('lookup', 'q_normalized')}",
+    "phonetic_block_topk": f"WITH {_FORMS} {_PHONETIC}",
+    "candidates_union": f"""WITH {_FORMS}, {_POSTINGS}, seen AS (
+        SELECT query_id, entity_id, 1 AS channel, rank FROM ({_sql_block('forms', 'q_normalized')})
+        UNION ALL SELECT query_id, entity_id, 2, rank FROM ({_sql_block("(SELECT * FROM forms WHERE q_romaji <> q_normalized)", 'q_romaji')})
+        UNION ALL SELECT query_id, entity_id, 3, rank FROM ({_PHONETIC})),
+        firsts AS (SELECT query_id, entity_id, min({{'c': channel, 'r': rank}}) AS f FROM seen GROUP BY ALL)
+        SELECT query_id, entity_id, f.c AS channel, f.r AS channel_rank, row_number() OVER (PARTITION BY query_id ORDER BY f.c, f.r) AS cand_ord FROM firsts""",
+    "request_validation": """SELECT query_id, coalesce(max_results, 10) AS "limit", CASE WHEN error IS NULL THEN 'ok' ELSE 'error' END AS status, error FROM (
+        SELECT *, CASE WHEN query_text IS NULL OR length(query_text) < 1 THEN 'query is missing' WHEN length(query_text) > 200 THEN 'query is too long'
+        WHEN coalesce(max_results, 10) < 1 OR coalesce(max_results, 10) > 50 THEN 'limit is out of range' END AS error FROM search_requests)""",
+    "registry_stats": "SELECT (SELECT count(*) FROM companies) AS entity_count, (SELECT count(*) FROM company_ngrams) AS ngram_count",
+    "ingest_first_wins": f"""SELECT row_no, corporate_number, name, nullif(furigana, '') AS furigana, nullif(prefecture_code, '') AS prefecture_code, nullif(city, '') AS city,
+        nullif(address, '') AS address, nullif(en_name, '') AS en_name FROM (
+        SELECT *, row_number() OVER (PARTITION BY corporate_number ORDER BY row_no) AS i FROM (
+          SELECT row_no, {', '.join(f"regexp_replace({c}, '^{_WS}+|{_WS}+$', '', 'g') AS {n}" for n, c in (('corporate_number', 'c1'), ('latest', 'c3'), ('name', 'c6'), ('furigana', 'c7'), ('prefecture_code', 'c8'), ('city', 'c9'), ('address', 'c10'), ('en_name', 'c24')))}
+          FROM registry_rows WHERE c8 IS NOT NULL) WHERE latest = '0' AND corporate_number <> '' AND name <> '') WHERE i = 1""",
+}
