@@ -79,13 +79,21 @@ def _vectorised(kernel):
 
 def jaro_winkler(a: Column, b: Column, engine: str = "kernel") -> Column:
     """Jaro-Winkler of the lower-cased texts; 1 for two empty texts, 0 for one."""
-    x, y = F.lower(a), F.lower(b)
-    return _vectorised(jaro_winkler_of)(x, y) if engine == "kernel" else _jaro_winkler_fold(x, y)
+    return jaro_winkler_prepared(engine)(F.lower(a), F.lower(b))
+
+
+def jaro_winkler_prepared(engine: str = "kernel"):
+    """Jaro-Winkler of texts in lower case already."""
+    return _vectorised(jaro_winkler_of) if engine == "kernel" else _jaro_winkler_fold
 
 
 def levenshtein(a: Column, b: Column) -> Column:
     """1 - edit distance / longer length of the lower-cased texts; 1 for two empty texts."""
-    x, y = F.lower(a), F.lower(b)
+    return levenshtein_prepared(F.lower(a), F.lower(b))
+
+
+def levenshtein_prepared(x: Column, y: Column) -> Column:
+    """The same of texts in lower case already."""
     n = F.greatest(F.length(x), F.length(y))
     return F.when(n == 0, 1.0).otherwise(1 - F.levenshtein(x, y) / n)
 
@@ -98,8 +106,12 @@ def sorted_tokens(c: Column) -> Column:
 
 def token_sort(a: Column, b: Column, engine: str = "kernel") -> Column:
     """Indel ratio of the sorted words, case as it is."""
-    x, y = sorted_tokens(a), sorted_tokens(b)
-    return _vectorised(indel_ratio_of)(x, y) if engine == "kernel" else _indel_fold(x, y)
+    return indel_prepared(engine)(sorted_tokens(a), sorted_tokens(b))
+
+
+def indel_prepared(engine: str = "kernel"):
+    """The Indel ratio of texts whose words are sorted already."""
+    return _vectorised(indel_ratio_of) if engine == "kernel" else _indel_fold
 
 
 def _indel_fold(x: Column, y: Column) -> Column:

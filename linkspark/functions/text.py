@@ -65,12 +65,21 @@ def strip_forms(text: Column, folded: Column, forms: Sequence[str]) -> Column:
     word boundary, and a form that is all of the text stays.
     """
     n = F.length(text)
-    tried = []
-    for form in forms:
-        k = len(form)
-        before, behind = strip(F.substring(text, F.lit(1), n - k)), strip(F.substring(text, F.lit(k + 1), n))
-        tried += [F.when(F.endswith(folded, F.lit(form)) & (n > k) & (before != ""), before), F.when(F.startswith(folded, F.lit(form)) & (n > k) & (behind != ""), behind)]
-    return F.coalesce(*tried, text)
+
+    def before(form: Column) -> Column:
+        return strip(F.substring(text, F.lit(1), n - F.length(form)))
+
+    def behind(form: Column) -> Column:
+        return strip(F.substring(text, F.length(form) + 1, n))
+
+    def at_end(form: Column) -> Column:
+        return F.endswith(folded, form) & (n > F.length(form)) & (before(form) != "")
+
+    fitting = F.filter(F.array(*[F.lit(f) for f in forms]), lambda f: at_end(f) | (F.startswith(folded, f) & (n > F.length(f)) & (behind(f) != "")))
+    first = F.get(fitting, F.lit(0))
+    # inside a lambda, so that the search is made once
+    cut = F.transform(F.array(first), lambda f: F.when(f.isNull(), text).when(at_end(f), before(f)).otherwise(behind(f)))
+    return F.get(cut, F.lit(0))
 
 
 def _staged(df: DataFrame, out: str, *steps: tuple[str, Column]) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from linkspark.operators.entity_types import PHONETIC_PAIRS, TEXT_PAIRS
@@ -34,47 +34,68 @@ class Ensemble:
     def weight(self, name: str) -> float:
         return self.weights.get(name, self.registry.get(name).weight)
 
-    def best(self, name: str, query: dict[str, Column], candidate: dict[str, Column]) -> Column:
-        """``struct<score, place, query_form, candidate_form, q, c>`` of a strategy's best pair, null without one."""
-        strategy = self.registry.get(name)
-        pairs = self.phonetic_pairs if strategy.phonetic else self.text_pairs
-        tried = []
-        for i, (q, c) in enumerate(pairs):
-            if q in query and c in candidate:
-                a, b = query[q], candidate[c]
-                tried.append(F.when(a.isNotNull() & b.isNotNull(), F.struct(strategy.score(a, b).alias("score"), F.lit(-i).alias("place"), F.lit(q).alias("query_form"), F.lit(c).alias("candidate_form"), a.alias("q"), b.alias("c"))))
-        if not tried:
-            return F.lit(None).cast("struct<score:double,place:int,query_form:string,candidate_form:string,q:string,c:string>")
-        return F.array_max(F.array(*tried))
-
-    def best_columns(self, query: dict[str, Column], candidate: dict[str, Column]) -> dict[str, Column]:
-        """For each strategy a column ``best_<name>``; stage it with withColumns before ``result``."""
-        return {f"best_{s.name}": self.best(s.name, query, candidate) for s in self.registry.all()}
-
-    def result(self) -> Column:
-        """From staged best columns, ``struct<final_score, strategy_results, best_strategy, query_forms_used, candidate_forms_used>``."""
-        results, total, weights = [], F.lit(0.0), 0.0
+    def pairs(self, name: str) -> list[tuple[str, str]]:
+        return self.phonetic_pairs if self.registry.get(name).phonetic else self.text_pairs
+
+    def prepare(self, df: DataFrame, forms: dict[str, Column], side: str) -> DataFrame:
+        """``df`` with ``<side>_<preparation>_<form>`` for every form that a strategy compares on that side (``q`` or ``c``)."""
+        made = {}
+        for s in self.registry.all():
+            for form in dict.fromkeys(p[side == "c"] for p in self.pairs(s.name)):
+                if form in forms:
+                    made[f"{side}_{s.prepared_as or s.name}_{form}"] = F.when(forms[form].isNotNull(), s.prepare(forms[form]))
+        return df.withColumns(made)
+
+    def _sides(self, name: str, columns: Sequence[str]) -> list[tuple[int, str, str, str, str]]:
+        kind = self.registry.get(name).prepared_as or name
+        found = [(i, q, c, f"q_{kind}_{q}", f"c_{kind}_{c}") for i, (q, c) in enumerate(self.pairs(name))]
+        return [x for x in found if x[3] in columns and x[4] in columns]
+
+    def score(self, df: DataFrame) -> DataFrame:
+        """``df``, prepared on both sides, with ``score_<strategy>_<pair>`` for every pair and ``final_score``."""
+        scores, total, weights = {}, F.lit(0.0), 0.0
+        for s in self.registry.all():
+            mine = []
+            sides = self._sides(s.name, df.columns)
+            for i, _, _, q, c in sides:
+                # an earlier pair of the same texts has the same score and wins the tie
+                earlier = [F.col(q) == F.col(x[3]) for x in sides if x[0] < i and x[4] == c]
+                text = F.when(~F.coalesce(F.greatest(*earlier) if len(earlier) > 1 else earlier[0], F.lit(False)), F.col(q)) if earlier else F.col(q)
+                scores[f"score_{s.name}_{i}"] = F.when(text.isNotNull() & F.col(c).isNotNull(), s.score(text, F.col(c)))
+                mine.append(F.col(f"score_{s.name}_{i}"))
+            best = F.greatest(*mine) if len(mine) > 1 else mine[0] if mine else F.lit(None).cast("double")
+            total = total + F.coalesce(best, F.lit(0.0)) * self.weight(s.name)
+            weights += self.weight(s.name)
+        return df.withColumns(scores).withColumn("final_score", total / weights if weights > 0 else F.lit(0.0))
+
+    def explain(self, df: DataFrame) -> DataFrame:
+        """``df`` of score() with ``result``: ``struct<final_score, strategy_results, best_strategy, query_forms_used, candidate_forms_used>``."""
+        results = []
         for s in self.registry.all():
+            tried = [
+                F.when(
+                    F.col(f"score_{s.name}_{i}").isNotNull(),
+                    F.struct(F.col(f"score_{s.name}_{i}").alias("score"), F.lit(-i).alias("place"), F.lit(qf).alias("query_form"), F.lit(cf).alias("candidate_form"), F.col(q).alias("q"), F.col(c).alias("c")),
+                )
+                for i, qf, cf, q, c in self._sides(s.name, df.columns)
+            ]
+            none = F.lit(None).cast("struct<score:double,place:int,query_form:string,candidate_form:string,q:string,c:string>")
+            df = df.withColumn(f"best_{s.name}", F.array_max(F.array(*tried)) if tried else none)
             b = F.col(f"best_{s.name}")
-            score = F.coalesce(b.score, F.lit(0.0))
             details = F.when(b.isNull(), F.create_map(F.lit("note"), F.lit("no compatible form pairs found"))).otherwise(s.details(b.q, b.c, b.score))
-            results.append(F.struct(F.lit(s.name).alias("strategy_name"), score.alias("score"), F.coalesce(b.query_form, F.lit("")).alias("query_form"), F.coalesce(b.candidate_form, F.lit("")).alias("candidate_form"), details.alias("details")))
-            total = total + score * self.weight(s.name)
-            weights += self.weight(s.name)
-        final = total / weights if weights > 0 else F.lit(0.0)
-        every = F.array(*results) if results else F.array().cast(f"array<{RESULT}>")
-        ranked = [F.struct(r.score.alias("score"), F.lit(-i).alias("place"), r.strategy_name.alias("name")) for i, r in enumerate(results)]
-        best = F.array_max(F.array(*ranked)).getField("name") if ranked else F.lit("")
+            results.append(
+                F.struct(
+                    F.lit(s.name).alias("strategy_name"), F.coalesce(b.score, F.lit(0.0)).alias("score"), F.coalesce(b.query_form, F.lit("")).alias("query_form"),
+                    F.coalesce(b.candidate_form, F.lit("")).alias("candidate_form"), details.alias("details"),
+                )
+            )
+        df = df.withColumn("strategy_results", F.array(*results) if results else F.array().cast(f"array<{RESULT}>"))
+        every = F.col("strategy_results")
+        first = F.array_max(F.transform(every, lambda r, i: F.struct(r.score.alias("score"), (-i).alias("place"), r.strategy_name.alias("name"))))
 
         def used(which: str) -> Column:
             return F.array_sort(F.array_distinct(F.filter(F.transform(every, lambda r: r.getField(which)), lambda x: x != "")))
 
-        return F.struct(final.alias("final_score"), every.alias("strategy_results"), best.alias("best_strategy"), used("query_form").alias("query_forms_used"), used("candidate_form").alias("candidate_forms_used"))
-
-    def final_score(self) -> Column:
-        """The weighted average alone, from staged best columns."""
-        total = F.lit(0.0)
-        for s in self.registry.all():
-            total = total + F.coalesce(F.col(f"best_{s.name}.score"), F.lit(0.0)) * self.weight(s.name)
-        weights = sum(self.weight(s.name) for s in self.registry.all())
-        return total / weights if weights > 0 else F.lit(0.0)
+        best = F.coalesce(first.getField("name"), F.lit(""))
+        result = F.struct("final_score", "strategy_results", best.alias("best_strategy"), used("query_form").alias("query_forms_used"), used("candidate_form").alias("candidate_forms_used"))
+        return df.withColumn("result", result)

@@ -14,6 +14,7 @@ from linkspark.operators.entity_types import COMPANY, EntityTypeConfig
 from linkspark.operators.explain import blocking_step, query_steps, scoring_step
 from linkspark.operators.forms import FORMS, with_query_forms
 from linkspark.settings import ResolverSettings
+from linkspark.sources.tables import cut
 
 
 def validated(requests: DataFrame, settings: ResolverSettings, query_id: str = "query_id", text: str = "query_text", limit: str | None = "max_results") -> DataFrame:
@@ -55,19 +56,28 @@ class Resolver:
     def query_forms(self, requests: DataFrame) -> DataFrame:
         """Distinct texts of valid requests with their forms; a text's id is the smallest of its requests."""
         texts = requests.where("status = 'ok'").groupBy("text").agg(F.min("query_id").alias("query_id"))
-        return with_query_forms(texts, "text", self.config, lexicon=self.lexicon)
+        # written once: every channel, the scores and the explanations read them
+        return cut(with_query_forms(texts, "text", self.config, lexicon=self.lexicon))
 
     def candidates(self, forms: DataFrame) -> DataFrame:
         return candidates(forms, self.entities, self.ngrams, self.settings, bool(self.config.phonetic_pairs))
 
+    def _meet(self, pairs: DataFrame, forms: DataFrame) -> DataFrame:
+        """Pairs of ``query_id`` and ``entity_id`` with both sides' prepared texts; only compared columns of the registry are read."""
+        stored = self.ensemble.prepare(self.entities, self.config.candidate_forms(), "c")
+        asked = self.ensemble.prepare(forms, {f: F.col(f"q_{f}") for f in FORMS}, "q")
+        kinds = {s.prepared_as or s.name for s in self.ensemble.registry.all()}
+        mine = lambda df, side: [c for c in df.columns if any(c.startswith(f"{side}_{k}_") for k in kinds)]
+        spark = pairs.sparkSession
+        tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism)
+        # scoring costs computation, so its tasks are many even where the pairs' bytes are few
+        pairs = pairs.repartition(tasks, "query_id", "entity_id")
+        joined = pairs.join(stored.select(F.col("id").alias("entity_id"), *mine(stored, "c")), "entity_id")
+        return joined.join(asked.select("query_id", *mine(asked, "q")), "query_id")
+
     def scored(self, forms: DataFrame) -> DataFrame:
-        """Every candidate with ``final_score`` and staged best pairs; only the compared columns of the registry are read."""
-        stored = self.entities.select(F.col("id").alias("entity_id"), *[c.alias(f"c_{n}") for n, c in self.config.candidate_forms().items()])
-        joined = self.candidates(forms).join(stored, "entity_id").join(forms.select("query_id", *[f"q_{f}" for f in FORMS]), "query_id")
-        query = {f: F.col(f"q_{f}") for f in FORMS}
-        candidate = {n: F.col(f"c_{n}") for n in self.config.candidate_forms()}
-        staged = joined.withColumns(self.ensemble.best_columns(query, candidate))
-        return staged.withColumn("final_score", self.ensemble.final_score())
+        """``(query_id, entity_id, cand_ord, n_trigram, n_phonetic, final_score)`` of every candidate."""
+        return self.ensemble.score(self._meet(self.candidates(forms), forms)).select("query_id", "entity_id", "cand_ord", "n_trigram", "n_phonetic", "final_score")
 
     def matches(self, requests: DataFrame, payload: bool = False, explain: bool = False) -> DataFrame:
         """``(query_id, rank, entity_id, entity_name, score, band, best_strategy, strategy_results, ...)`` of validated requests.
@@ -80,7 +90,9 @@ class Resolver:
         scored = self.scored(forms).where(F.col("final_score") >= self.settings.min_score_threshold)
         best = Window.partitionBy("query_id").orderBy(F.desc("final_score"), "cand_ord")
         kept = scored.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= self.settings.max_limit)
-        kept = kept.withColumn("result", self.ensemble.result()).select("query_id", "entity_id", "rank", "n_trigram", "n_phonetic", "result")
+        # the breakdown is made for kept matches only
+        kept = cut(kept.select("query_id", "entity_id", "rank"))
+        kept = self.ensemble.explain(self.ensemble.score(self._meet(kept, forms))).select("query_id", "entity_id", "rank", "result")
         fields = [F.col("id").alias("entity_id"), F.col(self.config.display_field).alias("entity_name")]
         if payload:
             fields.append(F.struct(*[f.name for f in self.config.fields]).alias("entity_data"))
@@ -119,8 +131,9 @@ def compare(pairs: DataFrame, a: str = "name_a", b: str = "name_b", config: Enti
     """
     ensemble = ensemble or Ensemble(text_pairs=config.text_pairs, phonetic_pairs=config.phonetic_pairs)
     formed = with_query_forms(with_query_forms(pairs, a, config, "a_", lexicon), b, config, "b_", lexicon)
-    candidate = config.as_candidate({f: F.col(f"b_{f}") for f in FORMS})
-    staged = formed.withColumns(ensemble.best_columns({f: F.col(f"a_{f}") for f in FORMS}, candidate)).withColumn("result", ensemble.result())
+    formed = ensemble.prepare(formed, {f: F.col(f"a_{f}") for f in FORMS}, "q")
+    formed = ensemble.prepare(formed, config.as_candidate({f: F.col(f"b_{f}") for f in FORMS}), "c")
+    staged = ensemble.explain(ensemble.score(formed))
     forms = [F.struct(*[F.col(f"{p}{f}").alias(f) for f in ("original", "language", "normalized", "romaji", "phonetic")]).alias(f"forms_{p[0]}") for p in ("a_", "b_")]
     return staged.select(*[F.col(f"`{c}`") for c in pairs.columns], "result.final_score", "result.strategy_results", "result.best_strategy", *forms)
 

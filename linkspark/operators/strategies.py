@@ -15,14 +15,24 @@ def _no_details(query: Column, candidate: Column, score: Column) -> Column:
     return F.create_map().cast("map<string,string>")
 
 
+def _as_it_is(c: Column) -> Column:
+    return c
+
+
 @dataclass(frozen=True)
 class Strategy:
-    """A similarity of a query's and a candidate's text, both Columns, and the weight it has in an ensemble."""
+    """A similarity of a query's and a candidate's text, both Columns, and the weight it has in an ensemble.
+
+    ``prepare`` is applied to every text once, before queries meet candidates; score and details get what it gives.
+    """
 
     name: str
     score: Callable[[Column, Column], Column]
     weight: float = 1.0
-    #: From both texts and the score, a map of strings.
+    prepare: Callable[[Column], Column] = _as_it_is
+    #: Strategies with the same preparation share its columns under this name; by default it is the strategy's own.
+    prepared_as: str = ""
+    #: From both prepared texts and the score, a map of strings.
     details: Callable[[Column, Column, Column], Column] = _no_details
     #: Whether it compares phonetic forms rather than texts.
     phonetic: bool = False
@@ -60,22 +70,17 @@ class StrategyRegistry:
         forms, which are keys already, once more, as the service does; ``keys`` compares the keys themselves.
         """
         text = lambda c: c.cast("string")
+        jw, indel = similarity.jaro_winkler_prepared(engine), similarity.indel_prepared(engine)
         out = cls()
-        out.register(Strategy("jaro_winkler", lambda a, b: similarity.jaro_winkler(a, b, engine), 0.30, lambda a, b, s: F.create_map(F.lit("raw_similarity"), text(s))))
-        out.register(
-            Strategy(
-                "levenshtein", similarity.levenshtein, 0.25,
-                lambda a, b, s: F.create_map(F.lit("edit_distance"), text(F.levenshtein(F.lower(a), F.lower(b))), F.lit("normalized_similarity"), text(s)),
-            )
-        )
-        out.register(Strategy("token_sort", lambda a, b: similarity.token_sort(a, b, engine), 0.25, lambda a, b, s: F.create_map(F.lit("raw_ratio"), text(s * 100))))
-        keys = phonetic_mode == "keys"
-        compare = phonetic.compare_keys if keys else phonetic.phonetic_similarity
-        key = (lambda c: c) if keys else phonetic.phonetic_key
+        out.register(Strategy("jaro_winkler", jw, 0.30, F.lower, "lower", lambda a, b, s: F.create_map(F.lit("raw_similarity"), text(s))))
         out.register(
             Strategy(
-                "phonetic", compare, 0.20,
-                lambda a, b, s: F.create_map(F.lit("query_phonetic_key"), key(a), F.lit("candidate_phonetic_key"), key(b)), True,
+                "levenshtein", similarity.levenshtein_prepared, 0.25, F.lower, "lower",
+                lambda a, b, s: F.create_map(F.lit("edit_distance"), text(F.levenshtein(a, b)), F.lit("normalized_similarity"), text(s)),
             )
         )
+        out.register(Strategy("token_sort", indel, 0.25, similarity.sorted_tokens, "tokens", lambda a, b, s: F.create_map(F.lit("raw_ratio"), text(s * 100))))
+        key = _as_it_is if phonetic_mode == "keys" else phonetic.phonetic_key
+        keys = lambda a, b, s: F.create_map(F.lit("query_phonetic_key"), a, F.lit("candidate_phonetic_key"), b)
+        out.register(Strategy("phonetic", phonetic.compare_keys, 0.20, key, "key", keys, True))
         return out
