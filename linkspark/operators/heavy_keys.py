@@ -20,29 +20,48 @@ SLICE_BITS = 8
 SLICES = 1 << SLICE_BITS
 
 
-def _rounds(df: DataFrame) -> tuple[int, list[int]]:
-    """The smallest value, and for each round the bits to the right of the slice number."""
-    lo, hi = df.agg(F.min("v"), F.max("v")).first()
-    if lo is None:
-        return 0, [0]
-    bits = max(1, (hi - lo).bit_length())
-    return lo, [max(0, bits - SLICE_BITS * (i + 1)) for i in range(-(-bits // SLICE_BITS))]
+class _Digits:
+    """The bits in which the values of a table differ, as a number that orders like them, and the rounds to resolve it.
+
+    Values share the bits above the highest one in which the smallest and the largest differ. Only if that is the sign
+    it has to be turned round. Everything is bitwise, so no range of values overflows.
+    """
+
+    def __init__(self, rows: DataFrame):
+        lo, hi = rows.agg(F.min("v"), F.max("v")).first()
+        lo, hi = lo or 0, hi or 0
+        bits = max(1, ((lo ^ hi) & (2**64 - 1)).bit_length())
+        self.mask = _signed((1 << bits) - 1)
+        self.flip = _signed(1 << 63) if bits == 64 else 0
+        self.prefix = _signed(lo & ~((1 << bits) - 1))
+        #: For each round the bits to the right of the slice number.
+        self.shifts = [max(0, bits - SLICE_BITS * (i + 1)) for i in range(-(-bits // SLICE_BITS))]
+
+    def slice(self, v: Column, shift: int) -> Column:
+        return F.shiftrightunsigned(v.bitwiseXOR(F.lit(self.flip)).bitwiseAND(F.lit(self.mask)), shift)
+
+    def value(self, last_slice: Column) -> Column:
+        return last_slice.bitwiseOR(F.lit(self.prefix)).bitwiseXOR(F.lit(self.flip))
+
+
+def _signed(x: int) -> int:
+    x &= 2**64 - 1
+    return x - 2**64 if x >= 2**63 else x
 
 
 def _keyed(df: DataFrame, key: str, value: str) -> DataFrame:
     return df.select(F.col(key).alias("k"), F.col(value).cast("long").alias("v"))
 
 
-def _histogram(rows: DataFrame, lo: int, shift: int, by: Sequence[str] = ("k",)) -> DataFrame:
-    slice_no = F.shiftrightunsigned(F.col("v") - F.lit(lo), shift)
-    return rows.groupBy(*by, slice_no.alias("slice")).agg(F.count("*").alias("n"))
+def _histogram(rows: DataFrame, digits: _Digits, shift: int, by: Sequence[str] = ("k",)) -> DataFrame:
+    return rows.groupBy(*by, digits.slice(F.col("v"), shift).alias("slice")).agg(F.count("*").alias("n"))
 
 
 def key_counts(df: DataFrame, key: str, value: str) -> DataFrame:
     """``(k, n_rows)`` summed from the first histogram; a null key is no key."""
     rows = _keyed(df, key, value).where(F.col("k").isNotNull())
-    lo, shifts = _rounds(rows)
-    return _totals(_histogram(rows, lo, shifts[0]))
+    digits = _Digits(rows)
+    return _totals(_histogram(rows, digits, digits.shifts[0]))
 
 
 def _totals(first: DataFrame) -> DataFrame:
@@ -54,19 +73,19 @@ def _rank(q: float) -> Column:
     return F.greatest(F.lit(1), F.ceil(F.lit(q) * F.col("n_values"))).cast("long")
 
 
-def _select(rows: DataFrame, keys: DataFrame, first: DataFrame, lo: int, shifts: list[int], quantiles: Sequence[float], small_keys: bool) -> DataFrame:
+def _select(rows: DataFrame, keys: DataFrame, first: DataFrame, digits: _Digits, quantiles: Sequence[float], small_keys: bool) -> DataFrame:
     """``(k, q, value)`` for the keys of ``keys (k, n_rows, n_values)``."""
     hint = F.broadcast if small_keys else lambda x: x
     ranks = F.array(*[F.struct(F.lit(float(q)).alias("q"), _rank(q).alias("rank")) for q in quantiles])
     wanted = keys.where(F.col("n_values") > 0).select("k", F.inline(ranks))
     histogram = first.where(F.col("slice").isNotNull())
     found = None
-    for i, shift in enumerate(shifts):
+    for i, shift in enumerate(digits.shifts):
         if i:
             # count again, finer, only inside the slices that hold a wanted rank
-            inside = rows.withColumn("above", F.shiftrightunsigned(F.col("v") - F.lit(lo), shifts[i - 1]))
+            inside = rows.withColumn("above", digits.slice(F.col("v"), digits.shifts[i - 1]))
             targets = found.select("k", F.col("slice").alias("above")).distinct()
-            histogram = _histogram(inside.join(hint(targets), ["k", "above"], "left_semi"), lo, shift, ("k", "above"))
+            histogram = _histogram(inside.join(hint(targets), ["k", "above"], "left_semi"), digits, shift, ("k", "above"))
             over = Window.partitionBy("k", "above").orderBy("slice")
             wanted = found.select("k", "q", "rank", F.col("slice").alias("above"))
             on = ["k", "above"]
@@ -80,7 +99,7 @@ def _select(rows: DataFrame, keys: DataFrame, first: DataFrame, lo: int, shifts:
             .where((F.col("rank") > F.col("before")) & (F.col("rank") <= F.col("upto")))
             .select("k", "q", (F.col("rank") - F.col("before")).alias("rank"), "slice")
         )
-    return found.select("k", "q", (F.col("slice") + F.lit(lo)).alias("value"))
+    return found.select("k", "q", digits.value(F.col("slice")).alias("value"))
 
 
 def _distinct(rows: DataFrame) -> DataFrame:
@@ -107,10 +126,10 @@ def key_profile(
     q of the key's values, repeats included, at or below it.
     """
     rows = _keyed(df, key, value).where(F.col("k").isNotNull())
-    lo, shifts = _rounds(rows)
-    first = _histogram(rows, lo, shifts[0])
+    digits = _Digits(rows)
+    first = _histogram(rows, digits, digits.shifts[0])
     totals = _totals(first).withColumn("n_values", F.coalesce("n_values", F.lit(0)))
-    chosen = _wide(_select(rows.where(F.col("v").isNotNull()), totals, first, lo, shifts, quantiles, False), quantiles, names)
+    chosen = _wide(_select(rows.where(F.col("v").isNotNull()), totals, first, digits, quantiles, False), quantiles, names)
     out = totals.join(_distinct(rows), "k", "left").join(chosen, "k", "left")
     return out.select(F.col("k").alias(key), "n_rows", F.coalesce("n_distinct", F.lit(0)).alias("n_distinct"), *names)
 
@@ -129,8 +148,8 @@ def heavy_keys(
     rows; the other cases are as in key_profile.
     """
     rows = _keyed(df, key, value)
-    lo, shifts = _rounds(rows)
-    first = _histogram(rows, lo, shifts[0])
+    digits = _Digits(rows)
+    first = _histogram(rows, digits, digits.shifts[0])
     totals = _totals(first).withColumn("n_values", F.coalesce("n_values", F.lit(0)))
     everything = totals.agg(F.sum("n_rows").alias("all_rows"))  # one row
     heavy = (
@@ -140,6 +159,6 @@ def heavy_keys(
     )
     heavy = cut(heavy)  # at most 1 / share rows
     of_heavy = rows.where(F.col("v").isNotNull()).join(F.broadcast(heavy.select("k")), "k", "left_semi")
-    chosen = _wide(_select(of_heavy, heavy.select("k", "n_rows", "n_values"), first, lo, shifts, quantiles, True), quantiles, names)
+    chosen = _wide(_select(of_heavy, heavy.select("k", "n_rows", "n_values"), first, digits, quantiles, True), quantiles, names)
     out = heavy.join(F.broadcast(chosen), "k", "left").join(F.broadcast(_distinct(of_heavy)), "k", "left")
     return out.select(F.col("k").alias(key), "n_rows", F.coalesce("n_distinct", F.lit(0)).alias("n_distinct"), *names, "share")

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import csv
+import io
+import itertools
 import zipfile
 from collections.abc import Iterator
 
@@ -18,42 +21,54 @@ from linkspark.operators.entity_types import COMPANY, EntityTypeConfig
 # The positions (from 0) of the columns of a registry line, and the number of its columns.
 POSITIONS = {"corporate_number": 1, "latest": 3, "name": 6, "furigana": 7, "prefecture_code": 8, "city": 9, "address": 10, "en_name": 24}
 WIDTH = 30
-ENCODING = "MS932"
+ENCODING = "cp932"
 
 
 def read_registry_csv(spark: SparkSession, path: str, encoding: str = ENCODING) -> DataFrame:
     """Lines of positional CSV files without a header, as ``(row_no, <POSITIONS>)``; columns that a line lacks are null.
 
-    row_no follows the order of files and of lines in them.
+    row_no follows the order of files and of lines in them. UTF-8 files are split among tasks; Spark reads no other
+    encoding of this kind, so that a file in one is decoded by one task, as a stream of lines.
     """
-    schema = ", ".join(f"_c{i} string" for i in range(WIDTH))
-    lines = spark.read.csv(path, schema=schema, header=False, encoding=encoding, enforceSchema=True)
-    return lines.select(F.monotonically_increasing_id().alias("row_no"), *[F.col(f"_c{i}").alias(n) for n, i in POSITIONS.items()])
+    if encoding.lower().replace("_", "-") in ("utf-8", "utf8"):
+        schema = ", ".join(f"_c{i} string" for i in range(WIDTH))
+        lines = spark.read.csv(path, schema=schema, header=False, enforceSchema=True)
+        return lines.select(F.monotonically_increasing_id().alias("row_no"), *[F.col(f"_c{i}").alias(n) for n, i in POSITIONS.items()])
+    return _decoded(spark, path, encoding, zipped=False)
 
 
-def read_registry_zip(spark: SparkSession, path: str, encoding: str = "cp932") -> DataFrame:
+def read_registry_zip(spark: SparkSession, path: str, encoding: str = ENCODING) -> DataFrame:
     """Lines of zipped CSV files: the first .csv member of each, undecodable bytes replaced; as read_registry_csv gives them."""
+    return _decoded(spark, path, encoding, zipped=True)
+
+
+def _decoded(spark: SparkSession, path: str, encoding: str, zipped: bool) -> DataFrame:
     files = spark.read.format("binaryFile").load(path).select("path", "content")
     names = list(POSITIONS)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import csv
-        import io
+    def lines_of(raw: io.BufferedIOBase) -> Iterator[list]:
+        text = io.TextIOWrapper(raw, encoding=encoding, errors="replace", newline="")
+        for i, line in enumerate(csv.reader(text)):
+            yield [i, *[line[p] if p < len(line) else None for p in POSITIONS.values()]]
+
+    def members(content: bytes) -> Iterator[list]:
+        if not zipped:
+            yield from lines_of(io.BytesIO(content))
+            return
+        with zipfile.ZipFile(io.BytesIO(content)) as z:
+            member = next((n for n in z.namelist() if n.lower().endswith(".csv")), None)
+            if member is not None:
+                with z.open(member) as raw:
+                    yield from lines_of(raw)
 
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            for path_, content in zip(b["path"], b["content"]):
-                with zipfile.ZipFile(io.BytesIO(content)) as z:
-                    member = next((n for n in z.namelist() if n.lower().endswith(".csv")), None)
-                    if member is None:
-                        continue
-                    out = []
-                    with z.open(member) as raw:
-                        for i, line in enumerate(csv.reader(io.TextIOWrapper(raw, encoding=encoding, errors="replace", newline=""))):
-                            out.append([path_, i, *[line[p] if p < len(line) else None for p in POSITIONS.values()]])
-                            if len(out) == 10_000:
-                                yield pd.DataFrame(out, columns=["file", "line", *names])
-                                out = []
-                    yield pd.DataFrame(out, columns=["file", "line", *names])
+            for file, content in zip(b["path"], b["content"]):
+                lines = members(content)
+                while some := list(itertools.islice(lines, 10_000)):
+                    out = pd.DataFrame(some, columns=["line", *names])
+                    out.insert(0, "file", file)
+                    yield out
 
     lines = files.mapInPandas(run, "file string, line bigint, " + ", ".join(f"{n} string" for n in names))
     return lines.select(F.struct("file", "line").alias("row_no"), *names)
