@@ -7,6 +7,8 @@ workers. Both give the same values.
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -14,6 +16,7 @@ from pyspark.sql import functions as F
 PREFIX_SCALE, PREFIX_LENGTH, BOOST_ABOVE = 0.1, 4, 0.7
 
 
+@lru_cache(maxsize=65_536)
 def _masks(text: str) -> dict[str, int]:
     out: dict[str, int] = {}
     for i, c in enumerate(text):
