@@ -220,7 +220,7 @@ def _alike(a: str, b: str) -> Column:
     u, v = F.col(f"l.{b}"), F.col(f"r.{b}")
     written = (F.length(x) == F.length(y)) & (F.length(x) <= 3) & (F.levenshtein(x, y, 1) >= 0)
     longer = F.greatest(F.length(u), F.length(v))
-    read = (osa_distance(u, v, 1) >= 0) & (longer >= 4) | (longer >= 9) & (osa_distance(u, v, 2) >= 0)
+    read = (osa_distance(u, v, 1) >= 0) & (longer >= 4) | (longer >= 7) & (osa_distance(u, v, 2) >= 0)
     return F.coalesce(x == y, F.lit(False)) | F.coalesce(written, F.lit(False)) | F.coalesce(read, F.lit(False))
 
 
