@@ -11,7 +11,7 @@ from linkspark.operators.forms import with_query_forms
 from linkspark.operators.resolver import Resolver, compare, unmatched, validated
 from linkspark.operators.service import batch_results
 from linkspark.settings import ResolverSettings
-from linkspark.sources.registry import latest_lines, prepare_entities, registry_rows, stats
+from linkspark.sources.registry import by_ids, latest_lines, prepare_entities, registry_rows, stats
 from linkspark.sources.tables import cut, table
 
 SETTINGS = ResolverSettings()
@@ -39,7 +39,7 @@ def _ascii(c):
 
 
 def _name_pairs(s, d):
-    """Each English name beside the part name whose key follows from the company's id; ASCII on both sides."""
+    """Each English name beside that of the company with the next id; ASCII on both sides."""
     left = _companies(s, d).where("en_name IS NOT NULL").select("id", _ascii(F.col("en_name")).alias("a"))
     right = left.select((F.col("id") - 1).alias("id"), F.col("a").alias("b"))
     return left.join(right, "id")
@@ -121,6 +121,8 @@ QUERIES = {
     "batch_resolve": lambda s, d: batch_results(_resolver(s, d), table(s, d, "search_requests")).select("query_id", F.size("matches").alias("n_matches"), "total_candidates", "status", "error"),
     "score_bands": lambda s, d: _resolved(s, d).groupBy("band").count().withColumnRenamed("count", "n"),
     "unmatched_anti": lambda s, d: unmatched(_requests(s, d), cut(_resolver(s, d).matches(_requests(s, d)).select("query_id"))).select("query_id", "status"),
+    "entity_projection": lambda s, d: COMPANY.project(_companies(s, d)),
+    "lookup_by_ids": lambda s, d: by_ids(_companies(s, d), COMPANY, table(s, d, "search_requests").select("query_id", (-F.col("query_id")).alias("ord")), "query_id").select("id", "corporate_number", "name"),
     "registry_stats": lambda s, d: stats({"company": (_companies(s, d), table(s, d, "company_ngrams"))}),
     "ingest_first_wins": lambda s, d: latest_lines(registry_rows(table(s, d, "registry_rows"))),
     "ingest_prepared": lambda s, d: prepare_entities(latest_lines(registry_rows(table(s, d, "registry_rows")))),
@@ -182,7 +184,6 @@ _PHONETIC = """SELECT query_id, entity_id, rank FROM (SELECT query_id, substring
 
 
 def _count(inside):
-    inside = inside.replace("\\x{", "\\x{")
     return f"len(regexp_extract_all(t, '[{inside}]'))"
 
 
@@ -227,6 +228,8 @@ ORACLES = {
     "request_validation": """SELECT query_id, coalesce(max_results, 10) AS "limit", CASE WHEN error IS NULL THEN 'ok' ELSE 'error' END AS status, error FROM (
         SELECT *, CASE WHEN query_text IS NULL OR length(query_text) < 1 THEN 'query is missing' WHEN length(query_text) > 200 THEN 'query is too long'
         WHEN coalesce(max_results, 10) < 1 OR coalesce(max_results, 10) > 50 THEN 'limit is out of range' END AS error FROM search_requests)""",
+    "entity_projection": f"SELECT id, {', '.join(f.name for f in COMPANY.fields)} FROM companies",
+    "lookup_by_ids": "SELECT id, corporate_number, name FROM companies JOIN search_requests ON id = query_id",
     "registry_stats": "SELECT (SELECT count(*) FROM companies) AS entity_count, (SELECT count(*) FROM company_ngrams) AS ngram_count",
     "ingest_first_wins": f"""SELECT row_no, corporate_number, name, nullif(furigana, '') AS furigana, nullif(prefecture_code, '') AS prefecture_code, nullif(city, '') AS city,
         nullif(address, '') AS address, nullif(en_name, '') AS en_name FROM (
