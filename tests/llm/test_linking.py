@@ -103,6 +103,31 @@ def test_segment_join_against_brute_force(spark):
     assert segment_join(df.limit(0)).count() == 0
 
 
+def test_segment_join_finds_turned_spellings_with_two_edits(spark):
+    rnd, units = random.Random(11), ["bie", "daku", "tomi", "yuki", "siro", "ki", "osa", "do", "mimu", "nu"]
+    forms = {"tomiyukibiedaku", "biedakutoyuki"}
+    for _ in range(40):
+        parts = [rnd.choice(units) for _ in range(rnd.randint(4, 6))]
+        cut = rnd.randint(1, len(parts) - 1)
+        gone = rnd.randrange(len(parts))
+        slipped = [x if i != gone else x[: len(x) - 2] for i, x in enumerate(parts)]
+        forms |= {"".join(parts), "".join(slipped[cut:] + slipped[:cut])}
+    forms = sorted(f for f in forms if len(f) >= 8)
+    df = spark.createDataFrame(list(enumerate(forms)), "id bigint, form string").selectExpr("id", "'x' AS block", "form")
+    got = {frozenset((r.a, r.b)) for r in segment_join(df).collect()}
+    wanted = set()
+    for i, s in enumerate(forms):
+        for j, t in enumerate(forms):
+            # the longer one stands, or the smaller id of equals
+            if (-len(s), i) < (-len(t), j) and len(s) - len(t) <= 2:
+                turns = [t[r:] + t[:r] for r in range(len(t))]
+                k = 2 if len(t) >= 12 else 1
+                if any((d := naive(s, x)) < 2 or d <= k and one_slip(s, x) for x in turns):
+                    wanted.add(frozenset((i, j)))
+    assert frozenset((forms.index("tomiyukibiedaku"), forms.index("biedakutoyuki"))) in wanted
+    assert len(wanted) == 25 and got == wanted, (len(wanted), len(got), len(got & wanted))
+
+
 def test_near():
     assert _near("abcd", "abdc", 1) and not _near("abcd", "badc", 1) and _near([], [], 0)
     assert one_slip("kikuhosizanpi", "kikuhotuzanpi") and not one_slip("kanemasasagubo", "kanemasasabudo")
