@@ -3,7 +3,9 @@
 Every address is taken apart into prefecture, city, town, kind of town and lot numbers; building, floor and room are
 dropped. Equal writings are one form from then on. Forms are then compared in multi-pass sorted neighbourhoods: each
 pass sorts by another order of the components (the first ones of which must agree and are the block), and every form is
-compared with the next ``WINDOW`` ones. A pair is one place if all lot numbers and the kind of town are strictly equal
+compared with the next ``WINDOW`` ones. What windows and blocks leave out is met by a join of towns: equal ones, short
+ones but for one character, and readings that share one of three segments, of which two edits leave one whole; every
+pair that the rule accepts is found. A pair is one place if all lot numbers and the kind of town are strictly equal
 and town and city agree up to a transposition-tolerant edit distance, in their characters or in their readings. Places
 are the connected components of these pairs.
 """
@@ -224,8 +226,43 @@ def _alike(a: str, b: str) -> Column:
     return F.coalesce(x == y, F.lit(False)) | F.coalesce(written, F.lit(False)) | F.coalesce(read, F.lit(False))
 
 
+def _one_place() -> Column:
+    """Whether forms l and r of equal lots and kind are one place."""
+    return (
+        F.coalesce(F.col("l.prefecture") == F.col("r.prefecture"), F.lit(True))
+        & (F.col("l.city").isNull() | F.col("r.city").isNull() | _alike("city", "city_read"))
+        & _alike("town", "town_read")
+    )
+
+
+#: Keys on which towns of both sides meet that are equal, or up to three characters long and differ in one.
+_WRITTEN = """concat(array(concat('=', town)), CASE WHEN length(town) <= 3 THEN transform(sequence(1, length(town)),
+    i -> concat('~', substring(town, 1, i - 1), '*', substring(town, i + 1))) ELSE array() END)"""
+#: The three segments of a reading of four letters and more.
+_SEGMENTS = """CASE WHEN length(town_read) >= 4 THEN transform(sequence(0, 2), i -> concat_ws('|', length(town_read), i, substring(town_read,
+    CAST(floor(i * length(town_read) / 3) AS INT) + 1, CAST(floor((i + 1) * length(town_read) / 3) - floor(i * length(town_read) / 3) AS INT)))) ELSE array() END"""
+#: A reading's own parts where a segment of an equal or up to two letters longer one can lie, two edits away at most.
+_PARTS = """CASE WHEN length(town_read) >= 2 THEN flatten(transform(sequence(greatest(4, length(town_read)), length(town_read) + 2), n ->
+    flatten(transform(sequence(0, 2), i -> transform(filter(sequence(-2, 2), x -> CAST(floor(i * n / 3) AS INT) + x >= 0), x -> concat_ws('|', n, i, substring(town_read,
+    CAST(floor(i * n / 3) AS INT) + x + 1, CAST(floor((i + 1) * n / 3) - floor(i * n / 3) AS INT)))))))) ELSE array() END"""
+
+
+def _meeting_towns(forms: DataFrame) -> DataFrame:
+    """``(a, b)`` of all forms that are one place, complete by the pigeonhole principle: a reading's slip is two edits at most."""
+    fields = F.struct("id", *_FIELDS)
+
+    def side(keys: str, name: str) -> DataFrame:
+        every = F.array_distinct(F.concat(F.expr(_WRITTEN), F.expr(keys)))
+        return forms.select(fields.alias(name), F.explode(every).alias("key")).select(F.xxhash64(f"{name}.lots", f"{name}.kind", "key").alias("h"), name)
+
+    met = side(_SEGMENTS, "l").join(side(_PARTS, "r"), "h")
+    return met.where((F.col("l.id") != F.col("r.id")) & (F.col("l.lots") == F.col("r.lots")) & (F.col("l.kind") == F.col("r.kind")) & _one_place()).select(
+        F.least("l.id", "r.id").alias("a"), F.greatest("l.id", "r.id").alias("b")
+    )
+
+
 def same_place_pairs(forms: DataFrame, window: int = WINDOW) -> DataFrame:
-    """``(a, b)`` of form ids that are one place, from sorted neighbourhoods in four component orders."""
+    """``(a, b)`` of form ids that are one place, a < b: sorted neighbourhoods in five component orders, and what they leave out."""
     read = F.coalesce("town_read", "town")
     city = F.coalesce("city_read", "city", F.lit(""))
     passes = [
@@ -236,16 +273,11 @@ def same_place_pairs(forms: DataFrame, window: int = WINDOW) -> DataFrame:
         (["lots", "kind", F.reverse(F.substring(F.reverse("town"), 1, 1))], [F.reverse("town"), city]),
     ]
     fields = F.struct("id", *_FIELDS)
-    found = None
+    found = _meeting_towns(forms)
     for block, order in passes:
         w = Window.partitionBy(*block).orderBy(*order, "id").rowsBetween(1, window)
         near = forms.select(fields.alias("l"), F.collect_list(fields).over(w).alias("rs")).select("l", F.explode("rs").alias("r"))
-        pairs = near.where(
-            (F.coalesce(F.col("l.prefecture") == F.col("r.prefecture"), F.lit(True)))
-            & (F.col("l.city").isNull() | F.col("r.city").isNull() | _alike("city", "city_read"))
-            & _alike("town", "town_read")
-        ).select(F.col("l.id").alias("a"), F.col("r.id").alias("b"))
-        found = pairs if found is None else found.unionByName(pairs)
+        found = found.unionByName(near.where(_one_place()).select(F.least("l.id", "r.id").alias("a"), F.greatest("l.id", "r.id").alias("b")))
     return found.distinct()
 
 

@@ -3,7 +3,7 @@ import random
 import pytest
 
 from linkspark.functions.kana import kana_romaji
-from linkspark.llm.addresses import AddressParser, number, same_place
+from linkspark.llm.addresses import AddressParser, number, same_place, same_place_pairs
 from linkspark.llm.names import NameParser, _near, one_slip, same_organisation, segment_join
 from linkspark.llm.readings import plain_spelling, reading_lexicon
 
@@ -49,6 +49,43 @@ def test_same_place(spark):
     assert same_place(df.limit(0), pref).count() == 0
 
 
+def test_same_place_pairs_against_brute_force(spark):
+    rnd, forms = random.Random(5), []
+    towns = [("本宮", "motomiya"), ("本官", "motomiya"), ("もとみや", "motomiya"), ("motomija", "motomija"), ("omtomiyo", "omtomiyo"), ("白", "siro"), ("富岡野", "tomiokano"), ("富岡乃", None), ("tomoikano", "tomoikano"), ("tomiokan", "tomiokan")]
+    for i in range(25):
+        city = "".join(rnd.choice("aeiou") + rnd.choice("kstnhm") for _ in range(4))
+        for town, read in rnd.sample(towns, 4):
+            forms.append((rnd.choice(["13", "07", None]), city, city, town, read, rnd.choice(["", "", "h"]), "1-1-1"))
+    forms += [(p, None, None, town, read, "", "1-1-1") for town, read in towns for p in ("13", None)]
+    forms = list(enumerate(dict.fromkeys(forms)))
+    df = spark.createDataFrame([(i, *f) for i, f in forms], "id bigint, prefecture string, city string, city_read string, town string, town_read string, kind string, lots string")
+
+    def alike(x, y, u, v):
+        if x == y or len(x) == len(y) <= 3 and naive(x, y) <= 1:
+            return True
+        if not u or not v:
+            return False
+        d = naive(u, v)
+        d = 1 if d == 2 and len(u) == len(v) and sorted(u) == sorted(v) else d
+        return d <= 1 and max(len(u), len(v)) >= 4 or d <= 2 and max(len(u), len(v)) >= 7
+
+    wanted = set()
+    for i, (p, c, cr, t, tr, kind, lots) in forms:
+        for j, (q, d, dr, u, ur, other, lots2) in forms[:i]:
+            if (kind, lots) == (other, lots2) and (not p or not q or p == q) and (not c or not d or alike(c, d, cr, dr)) and alike(t, u, tr, ur):
+                wanted.add((j, i))
+    got = {(min(r), max(r)) for r in same_place_pairs(df).select("a", "b").collect()}
+    assert len(wanted) > 300 and got == wanted, (len(wanted), len(got), len(got & wanted))
+
+
+def test_town_and_lots_in_many_cities(spark):
+    names = [a + b for a in "林岡富雪" for b in "白菊若坂宮"]
+    rows = [(str(i), "13" if i == 19 else "07", n + "市", "広島町1-1-1") for i, n in enumerate(names)] + [("none", "13", None, "広島町1-1-1")]
+    df = spark.createDataFrame([(*r, "n", "f", "x") for r in rows], ADDRESS)
+    pref = spark.createDataFrame(PREFECTURES, "prefecture_code string, pref_name string, pref_romaji string")
+    assert ("19", "none") in {tuple(r) for r in same_place(df, pref).collect()}
+
+
 def test_readings(spark):
     compounds = {"富雪": "トミユキ", "富岡": "トミオカ", "白雪": "シロユキ", "白岡": "シロオカ", "富菊": "トミキク", "白菊": "シロキク"}
     rows = [(f"ビエダク{k}", f"ビエダク{v}") for k, v in compounds.items()] + [(f"{k}ドサエケ商事", f"{v}ドサエケショウジ") for k, v in compounds.items()] + [(None, "ア"), ("", None)]
