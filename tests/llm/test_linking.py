@@ -181,3 +181,12 @@ def test_same_organisation(spark):
     assert got == {("1", "2"), ("1", "3"), ("2", "3"), ("4", "7")}
     assert same_organisation(df.limit(0)).count() == 0
     assert kana_romaji("ビエダク") == "biedaku"
+
+
+def test_short_names_link_by_equality_only(spark):
+    rows = [
+        ("1", "ヤマダ商事株式会社", "ヤマダショウジ", "Yamada Trading K.K."), ("2", "ヤマダ商事株式会社", "ヤマダショウジ", "Yamada Trading K.K."), ("3", "ヤマナ商事株式会社", "ヤマナショウジ", "Yamana Trading K.K."),
+        ("4", "ヤマダ工業株式会社", "ヤマダコウギョウ", "Yamada Industries K.K."), ("5", "株式会社ビエダク富雪ヤマダ商事", "ビエダクトミユキヤマダショウジ", None),
+    ]
+    df = spark.createDataFrame(rows, "corporate_number string, name string, furigana string, en_name string")
+    assert {tuple(r) for r in same_organisation(df).collect()} == {("1", "2")}
