@@ -15,11 +15,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def cut(df: DataFrame) -> DataFrame:
     """``df`` written to the reliable checkpoint folder and read again.
 
-    The folder is the cluster's ``spark.checkpoint.dir``. Only where that setting is absent, as in local tests, a
-    folder of this machine is used.
+    The folder is the cluster's ``spark.checkpoint.dir``. Only a session whose master is ``local``, as in tests, may do
+    without that setting and gets a folder of this machine; any other one is refused.
     """
     spark = df.sparkSession
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="linkspark-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="linkspark-"))
     return df.checkpoint(eager=True)
