@@ -43,3 +43,27 @@ def pairs_within(members: DataFrame, group: str, member: str, a: str, b: str) ->
     m = members.select(F.col(group).alias("g"), F.col(member).alias("m")).where("g IS NOT NULL AND m IS NOT NULL").distinct()
     left, right = m.withColumnRenamed("m", a), m.withColumnRenamed("m", b)
     return left.join(right, "g").where(F.col(a) < F.col(b)).select(a, b).distinct()
+
+
+def attach_incomplete(components: DataFrame, links: DataFrame, ranks: int) -> DataFrame:
+    """``(component, label)``: which component each one belongs to after incomplete ones were attached.
+
+    components: ``(component, rank)``, rank 0 for complete ones and more the less is known, below ``ranks``. links:
+    ``(component, other)``, where ``component`` has a higher rank than ``other`` and would fit it. An incomplete
+    component joins another one only if exactly one fits it among the most complete that fit: what fits several says
+    nothing of them being one. Ranks are taken in order, so that a component may follow one that was attached itself.
+    A missing rank counts as 0; repeated rows count once; components without links keep their own label.
+    """
+    named = components.groupBy("component").agg(F.coalesce(F.min("rank"), F.lit(0)).alias("rank"))
+    labels = named.select("component", "rank", F.col("component").alias("label"), F.col("rank").alias("label_rank"))
+    for rank in range(1, ranks):
+        mine = labels.where(F.col("rank") == rank).select("component")
+        others = labels.where(F.col("rank") < rank).select(F.col("component").alias("other"), F.col("label").alias("to"), F.col("label_rank").alias("to_rank"))
+        fitting = links.join(mine, "component").join(others, "other").groupBy("component").agg(
+            F.min(F.struct("to_rank", "to")).alias("lo"), F.max(F.struct(-F.col("to_rank"), "to")).alias("hi")
+        )
+        one = fitting.where(F.col("lo.to") == F.col("hi.to")).select("component", "lo.to", "lo.to_rank")
+        labels = cut(
+            labels.join(one, "component", "left").select("component", "rank", F.coalesce("to", "label").alias("label"), F.coalesce("to_rank", "label_rank").alias("label_rank"))
+        )
+    return labels.select("component", "label")

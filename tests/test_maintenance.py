@@ -4,6 +4,7 @@ from datetime import datetime, timedelta
 
 import pytest
 
+from linkspark.operators.components import attach_incomplete
 from linkspark.operators.heavy_keys import heavy_keys, key_profile
 from linkspark.operators.snapshots import snapshot_changes, snapshot_digests
 
@@ -89,3 +90,12 @@ def test_profile_edges(spark, rows):
     want = [("a", 5, 1, 7, 7, 7)] if rows[:1] == [("a", 7)] else []
     assert [tuple(r) for r in key_profile(df, "k", "v").collect()] == want
     assert [tuple(r)[:6] for r in heavy_keys(df, "k", "v").collect()] == want
+
+
+def test_incomplete_components_join_one_only(spark):
+    parts = spark.createDataFrame([(1, 0), (2, 0), (3, 1), (4, 1), (5, 2), (6, 2), (7, 3), (8, None), (3, 1)], "component bigint, rank int")
+    links = spark.createDataFrame([(3, 1), (4, 1), (4, 2), (5, 3), (5, 1), (6, 4), (7, 6), (7, 6), (None, 1)], "component bigint, other bigint")
+    # 3 fits 1 alone, 4 fits two; 5 fits 3, which is 1; 6 follows 4, which stayed apart, and 7 follows 6
+    want = {1: 1, 2: 2, 3: 1, 4: 4, 5: 1, 6: 4, 7: 4, 8: 8}
+    assert {r.component: r.label for r in attach_incomplete(parts, links, 4).collect()} == want
+    assert {r.component: r.label for r in attach_incomplete(parts, links.limit(0), 4).collect()} == {k: k for k in want}
