@@ -7,7 +7,8 @@ compared with the next ``WINDOW`` ones. What windows and blocks leave out is met
 ones but for one character, and readings that share one of three segments, of which two edits leave one whole; every
 pair that the rule accepts is found. A pair is one place if all lot numbers and the kind of town are strictly equal
 and town and city agree up to a transposition-tolerant edit distance, in their characters or in their readings. Places
-are the connected components of these pairs.
+are the connected components of pairs that lack the same parts; a record without prefecture or city then joins the only
+place that it fits, and none where several would do.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from pyspark.sql import functions as F
 from linkspark.llm.fold import with_consistent
 from linkspark.llm.readings import column_or_null, plain_spelling, reading_lexicon, spell
 from linkspark.llm.spread import spread
-from linkspark.operators.components import connected_components, pairs_within
+from linkspark.operators.components import attach_incomplete, connected_components, pairs_within
 from linkspark.sources.tables import cut
 
 #: Forms that follow in a sorted block and are compared with a form.
@@ -216,23 +217,35 @@ def osa_distance(a: Column, b: Column, limit: int) -> Column:
     return F.when(plain >= 0, F.when(swapped, F.lit(1)).otherwise(plain)).when(swapped, F.lit(1)).otherwise(F.lit(-1))
 
 
-def _alike(a: str, b: str) -> Column:
-    """Whether two parts agree in their characters or in their readings."""
-    x, y = F.col(f"l.{a}"), F.col(f"r.{a}")
-    u, v = F.col(f"l.{b}"), F.col(f"r.{b}")
-    written = (F.length(x) == F.length(y)) & (F.length(x) <= 3) & (F.levenshtein(x, y, 1) >= 0)
+def _alike(part: str, closely: bool) -> Column:
+    """Whether two parts agree in their characters or in their readings: closely, or else with up to two slips or another ideograph."""
+    x, y = F.col(f"l.{part}"), F.col(f"r.{part}")
+    u, v = F.col(f"l.{part}_read"), F.col(f"r.{part}_read")
     longer = F.greatest(F.length(u), F.length(v))
-    read = (osa_distance(u, v, 1) >= 0) & (longer >= 4) | (longer >= 7) & (osa_distance(u, v, 2) >= 0)
-    return F.coalesce(x == y, F.lit(False)) | F.coalesce(written, F.lit(False)) | F.coalesce(read, F.lit(False))
+    close = F.coalesce(x == y, F.lit(False)) | F.coalesce((osa_distance(u, v, 1) >= 0) & (longer >= 4), F.lit(False))
+    if closely:
+        return close
+    written = (F.length(x) == F.length(y)) & (F.length(x) <= 3) & (F.levenshtein(x, y, 1) >= 0)
+    return close | F.coalesce(written, F.lit(False)) | F.coalesce((longer >= 7) & (osa_distance(u, v, 2) >= 0), F.lit(False))
 
 
 def _one_place() -> Column:
-    """Whether forms l and r of equal lots and kind are one place."""
-    return (
-        F.coalesce(F.col("l.prefecture") == F.col("r.prefecture"), F.lit(True))
-        & (F.col("l.city").isNull() | F.col("r.city").isNull() | _alike("city", "city_read"))
-        & _alike("town", "town_read")
-    )
+    """Whether forms l and r of equal lots and kind may be one place.
+
+    A missing prefecture or city fits any here; what follows from it is decided by ``place_of_forms``. Two slips or
+    another ideograph are taken in one part only: in the town where both have a city, in the city where both have a
+    prefecture.
+    """
+    prefecture = F.col("l.prefecture") == F.col("r.prefecture")
+    city_open = F.col("l.city").isNull() | F.col("r.city").isNull()
+    city, town = _alike("city", True), _alike("town", True)
+    loose = ~city_open & city & _alike("town", False) | F.coalesce(prefecture, F.lit(False)) & ~city_open & _alike("city", False) & town
+    return F.coalesce(prefecture, F.lit(True)) & (town & (city_open | city) | loose)
+
+
+def _rank() -> Column:
+    """How much a form lacks: 0 nothing, 1 the prefecture, 2 the city, 3 both."""
+    return F.col("prefecture").isNull().cast("int") + 2 * F.col("city").isNull().cast("int")
 
 
 #: Keys on which towns of both sides meet that are equal, or up to three characters long and differ in one.
@@ -281,20 +294,38 @@ def same_place_pairs(forms: DataFrame, window: int = WINDOW) -> DataFrame:
     return found.distinct()
 
 
+def place_of_forms(forms: DataFrame) -> DataFrame:
+    """``(id, place)`` of every form ``(id, <fields>)``.
+
+    Forms that lack the same parts are one place if they may be. A form that lacks more than another one joins it only
+    if no other place would do as well: what fits places in two prefectures doesn't make them one.
+    """
+    pairs = cut(same_place_pairs(forms))
+    rank = forms.select("id", _rank().alias("rank"))
+    ranked = cut(
+        pairs.join(rank.select(F.col("id").alias("a"), F.col("rank").alias("ra")), "a").join(rank.select(F.col("id").alias("b"), F.col("rank").alias("rb")), "b")
+    )
+    groups = cut(connected_components(ranked.where("ra = rb").select("a", "b")))
+    component = cut(rank.join(groups.withColumnRenamed("node", "id"), "id", "left").select("id", "rank", F.coalesce("component", "id").alias("component")))
+    more = ranked.where("ra <> rb").select(F.expr("IF(ra > rb, a, b)").alias("more"), F.expr("IF(ra > rb, b, a)").alias("less"))
+    links = more.join(component.select(F.col("id").alias("more"), "component"), "more").join(component.select(F.col("id").alias("less"), F.col("component").alias("other")), "less")
+    labels = attach_incomplete(component.select("component", "rank"), cut(links.select("component", "other").distinct()), 4)
+    return component.join(labels, "component").select("id", F.col("label").alias("place"))
+
+
 def places(df: DataFrame, prefectures: DataFrame, key: str = "corporate_number") -> DataFrame:
     """``(<key>, place)``: the records that denote a location; records of one place have equal ``place``.
 
     Defined cases: a record whose address is null, blank or without a complete lot number denotes no location and has
-    no row; missing prefectures and cities agree with any; rows with a null key are left out; a key whose rows have
-    different addresses has a row for each place; an empty table yields no rows.
+    no row; a record without prefecture or city joins the one place of complete records that it fits, and stays apart
+    where several fit; rows with a null key are left out; a key whose rows have different addresses has a row for each
+    place; an empty table yields no rows.
     """
     parsed = cut(parse_addresses(df, prefectures, key))
     form = F.xxhash64(*[F.coalesce(F.col(f), F.lit("\x01")) for f in _FIELDS])
     placed = parsed.withColumn("id", form)
-    forms = placed.select("id", *_FIELDS).dropDuplicates(["id"])
-    groups = connected_components(same_place_pairs(cut(forms)))
-    joined = placed.select(F.col("k").alias(key), "id").distinct().join(groups.withColumnRenamed("node", "id"), "id", "left")
-    return joined.select(key, F.coalesce("component", "id").alias("place")).distinct()
+    forms = cut(placed.select("id", *_FIELDS).dropDuplicates(["id"]))
+    return placed.select(F.col("k").alias(key), "id").distinct().join(place_of_forms(forms), "id").select(key, "place").distinct()
 
 
 def same_place(df: DataFrame, prefectures: DataFrame, key: str = "corporate_number", a: str = "number_a", b: str = "number_b") -> DataFrame:
