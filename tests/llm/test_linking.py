@@ -4,6 +4,7 @@ import pytest
 
 from linkspark.functions.kana import kana_romaji
 from linkspark.llm.addresses import AddressParser, number, same_place, same_place_pairs
+from linkspark.llm.lexicons import Lexicons, learnt
 from linkspark.llm.names import NameParser, _near, one_slip, same_organisation, segment_join
 from linkspark.llm.readings import plain_spelling, reading_lexicon
 
@@ -211,3 +212,43 @@ def test_short_names_link_by_equality_only(spark):
     ]
     df = spark.createDataFrame(rows, "corporate_number string, name string, furigana string, en_name string")
     assert {tuple(r) for r in same_organisation(df).collect()} == {("1", "2")}
+
+
+NAMES = "corporate_number string, name string, furigana string, en_name string"
+
+
+def test_missing_given_name_joins_no_two_organisations(spark):
+    rows = [
+        ("1", "ロバート・ビエダク富雪商事", "ロバートビエダクトミユキショウジ", "Robert Biedaku-Tomiyuki Trading"), ("2", "ウィリアム・ビエダク富雪商事", "ウィリアムビエダクトミユキショウジ", "William Biedaku-Tomiyuki Trading"),
+        ("3", "ビエダク富雪商事", "ビエダクトミユキショウジ", "Biedaku-Tomiyuki Trading"), ("4", "ボブ・ビエダク富雪商事", None, "Bob Biedaku-Tomiyuki Trdg."),
+        ("5", "エリザベス・シロキク岡工業", "エリザベスシロキクオカコウギョウ", None), ("6", "シロキク岡工業(株)", "シロキクオカコウギョウ", None),
+    ]
+    got = {tuple(r) for r in same_organisation(spark.createDataFrame(rows, NAMES)).collect()}
+    assert got == {("1", "4"), ("5", "6")}
+
+
+def test_lines_and_given_names_are_learnt(spark):
+    rnd, rows = random.Random(3), []
+    lines = [("陶芸", "トウゲイ", "Pottery", "Pott."), ("造園", "ゾウエン", "Gardens", "Gdns."), ("ヨット", "ヨット", "Yachts", "Ychts.")]
+    syllables = ["ビエ", "ダク", "オサ", "ヨネ", "ミム", "ロヒ", "ザン", "ピヨ", "グダ", "セザ"]
+    given = [("ハインリヒ", "Heinrich"), ("ハイニ", "Heini"), ("ヨハネス", "Johannes"), ("ハネス", "Hannes")]
+    for i in range(300):
+        brand = "".join(rnd.choice(syllables) for _ in range(4))
+        native, kana, word, short = lines[i % 3]
+        roman = kana_romaji(brand).title()
+        g = given[i // 3 % 4] if i % 3 == 0 else None
+        for again in range(2 if g else 1):
+            if again:
+                g = given[given.index(g) ^ 1]
+            front = (g[0] + "・" if g else "", g[0] if g else "", g[1] + " " if g else "")
+            rows.append((front[0] + brand + native + "株式会社", front[1] + brand + kana, f"{front[2]}{roman[:6]} {roman[6:]} {short if i % 4 == 0 else word} K.K."))
+    rows += [(None, None, None), ("", "", "")]
+    df = spark.createDataFrame(rows, "n string, f string, e string")
+    got = learnt(df, Lexicons.none())
+    assert {k: set(v) for k, v in got.lines.items()} == {n: {k, w.lower(), s.lower().strip(".")} for n, k, w, s in lines}
+    canonical = lambda x: got.given[x]
+    assert canonical("ハイニ") == canonical("ハインリヒ") == canonical("heini") and canonical("ハネス") == canonical("hannes") != canonical("ハイニ")
+    # lists come first, and what is learnt is added
+    both = learnt(df, Lexicons())
+    assert both.lines["商事"] == ("ショウジ", "trading", "trdg") and "陶芸" in both.lines and both.given["bob"] == "ロバート"
+    assert learnt(df.limit(0), Lexicons.none()) == Lexicons.none()
