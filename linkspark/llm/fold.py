@@ -1,11 +1,13 @@
 """One consistent form for text that looks the same but holds different characters (problem 4).
 
 The work is done by SQL that runs in DuckDB inside the Arrow partitions: ``translate`` for compatibility forms, spaces
-and hyphens, a regular expression for what is invisible, ``nfc_normalize`` for composed letters and compatibility
+and hyphens, a regular expression and a map for signs that stand for several characters, a regular expression for what is invisible, ``nfc_normalize`` for composed letters and compatibility
 ideographs, and then two passes over words:
 
-* A word of Latin, Greek and Cyrillic letters is read in the script of those of its letters that look like no letter of
-  another one; its look-alikes are put into that script. A word wholly in one script is left as it is.
+* A word of Latin, Greek, Cyrillic and other look-alike letters is read in the script of those of its letters that look
+  like no letter of another one, or else of most of its letters; its look-alikes are put into that script. A word wholly
+  in one script is left as it is.
+* A long mark behind hiragana stays, unless a counter follows.
 * A run of katakana and of ideographs that look like katakana is katakana if it holds any katakana and is no single
   look-alike beside ideographs. At its edges, beside ideographs, a look-alike ideograph stays (a line of business or a
   number begins or ends there), but for the one that looks like the long-vowel mark.
@@ -26,6 +28,13 @@ LATIN_OF_CYRILLIC = "ABEKMHOPCTXSIJYabeopcyxsijhkmt"
 CYRILLIC = "АВЕКМНОРСТХЅІЈУаЬеорсухѕіјһкмт"
 LATIN_OF_GREEK = "ABEZHIKMNOPTYXaovuipkt"
 GREEK = "ΑΒΕΖΗΙΚΜΝΟΡΤΥΧαονυιρκτ"
+# Letters of other scripts that look like Latin ones, in the order of the Latin ones.
+LATIN_OF_CHEROKEE = "DRTiYAJEWMHGhZbSVLCPKdB"
+CHEROKEE = "ᎠᎡᎢᎥᎩᎪᎫᎬᎳᎷᎻᏀᏂᏃᏏᏚᏙᏞᏟᏢᏦᏧᏴ"
+LATIN_OF_LISU = "BPDTGKJCZSRNMLFXHYWVAEIOU"
+LISU = "ꓐꓑꓓꓔꓖꓗꓙꓚꓜꓢꓣꓠꓟꓡꓝꓫꓧꓬꓪꓦꓮꓰꓲꓳꓴ"
+LATIN_OF_COPTIC = "BHIKMNOPCTXaiocx"
+COPTIC = "ⲂⲎⲒⲔⲘⲚⲞⲢⲤⲦⲬⲁⲓⲟⲥⲭ"
 # Katakana and the ideographs that look like them.
 KATAKANA = "ーニハカロエタトオヒムメノ"
 IDEOGRAPHS = "一二八力口工夕卜才匕厶乂丿"
@@ -53,6 +62,22 @@ def _compatibility() -> tuple[str, str]:
     return "".join(a for a, _ in pairs), "".join(b for _, b in pairs)
 
 
+#: Blocks whose compatibility forms have several characters: letter-like signs, numbers, enclosed and squared signs, ligatures.
+_SIGNS = [(0x00B2, 0x00BE), (0x2070, 0x209C), (0x2100, 0x218B), (0x2460, 0x24EA), (0x3200, 0x33FF), (0xFB00, 0xFB06)]
+
+
+def _signs() -> dict[str, str]:
+    """Compatibility signs and the letters, digits and ideographs that they stand for, by rule."""
+    table = {chr(c): unicodedata.normalize("NFKC", chr(c)).replace("⁄", "/") for a, b in _SIGNS for c in range(a, b + 1)}
+    return {a: b for a, b in table.items() if a != b and not b.startswith(" ")}
+
+
+def _of_capitals(capitals: str, latin: str) -> tuple[str, str]:
+    """Small letters that look like no Latin one but whose capitals do: text in lower case holds them."""
+    pairs = {a.lower(): b.lower() for a, b in zip(capitals, latin) if a.isupper() and b.isupper() and a.lower() not in capitals}
+    return "".join(pairs), "".join(pairs.values())
+
+
 def _q(text: str) -> str:
     return "'" + text.replace("'", "''") + "'"
 
@@ -60,24 +85,31 @@ def _q(text: str) -> str:
 def consistent_sql(source: str, keys: str) -> str:
     """SQL over ``source(keys, v)`` that gives ``keys, v`` and ``w``, the consistent form of v."""
     compat, plain = _compatibility()
-    letters = r"\p{Latin}\p{Greek}\p{Cyrillic}\x{0300}-\x{036F}"
+    letters = r"\p{Latin}\p{Greek}\p{Cyrillic}\p{Coptic}\p{Cherokee}\p{Lisu}\x{0300}-\x{036F}"
     run = f"ァ-ヺー{IDEOGRAPHS}"
+    foreign = r"[\p{Greek}\p{Cyrillic}\p{Coptic}\p{Cherokee}\p{Lisu}]"
     own_latin = "[" + "".join(c for c in "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ" if c not in LATIN_OF_CYRILLIC + LATIN_OF_GREEK) + "]"
-    strange = lambda script, known: f"regexp_matches(translate(t, {_q(known)}, ''), '\\p{{{script}}}')"
+    small = {"Cyrillic": _of_capitals(CYRILLIC, LATIN_OF_CYRILLIC), "Greek": _of_capitals(GREEK, LATIN_OF_GREEK)}
+    strange = lambda script, known: f"regexp_matches(translate(t, {_q(known + small[script][0])}, ''), '\\p{{{script}}}')"
     to_latin = f"translate(translate(t, {_q(CYRILLIC)}, {_q(LATIN_OF_CYRILLIC)}), {_q(GREEK)}, {_q(LATIN_OF_GREEK)})"
+    rare = f"translate({to_latin}, {_q(CHEROKEE + LISU + COPTIC)}, {_q(LATIN_OF_CHEROKEE + LATIN_OF_LISU + LATIN_OF_COPTIC)})"
+    all_latin = f"CASE WHEN length(t) > 2 THEN translate({rare}, {_q(small['Cyrillic'][0] + small['Greek'][0])}, {_q(small['Cyrillic'][1] + small['Greek'][1])}) ELSE {rare} END"
     first_of = lambda s: (" ".join(dict.fromkeys(s)).replace(" ", ""))
     back = {}
     for name, latin, own in (("cyrillic", LATIN_OF_CYRILLIC, CYRILLIC), ("greek", LATIN_OF_GREEK, GREEK)):
         chosen = first_of(latin)
         back[name] = f"translate({to_latin}, {_q(chosen)}, {_q(''.join(own[latin.index(c)] for c in chosen))})"
+    count = lambda script: f"length(regexp_replace(t, '\\P{{{script}}}', '', 'g'))"
     word = f"""CASE
-        WHEN NOT regexp_matches(t, '[\\p{{Greek}}\\p{{Cyrillic}}]') THEN t
-        WHEN (regexp_matches(t, '\\p{{Latin}}')::INT + regexp_matches(t, '\\p{{Greek}}')::INT
-              + regexp_matches(t, '\\p{{Cyrillic}}')::INT) < 2 THEN t
-        WHEN regexp_matches(t, '{own_latin}') THEN {to_latin}
+        WHEN NOT regexp_matches(t, '{foreign}') THEN t
+        WHEN (regexp_matches(t, '\\p{{Latin}}')::INT + regexp_matches(t, '\\p{{Greek}}')::INT + regexp_matches(t, '\\p{{Cyrillic}}')::INT
+              + regexp_matches(t, '\\p{{Coptic}}')::INT + regexp_matches(t, '\\p{{Cherokee}}')::INT + regexp_matches(t, '\\p{{Lisu}}')::INT) < 2 THEN t
+        WHEN regexp_matches(t, '{own_latin}') THEN {all_latin}
         WHEN {strange('Cyrillic', CYRILLIC)} THEN {back['cyrillic']}
         WHEN {strange('Greek', GREEK)} THEN {back['greek']}
-        ELSE {to_latin} END"""
+        WHEN {count('Latin')} >= {count('Cyrillic')} + {count('Greek')} THEN {all_latin}
+        WHEN {count('Cyrillic')} > {count('Greek')} THEN {back['cyrillic']}
+        ELSE {back['greek']} END"""
     to_kana = lambda x: f"translate({x}, {_q(IDEOGRAPHS)}, {_q(KATAKANA)})"
     to_han = lambda x: f"translate({x}, {_q(KATAKANA)}, {_q(IDEOGRAPHS)})"
     head, tail = f"regexp_extract(t, '^[{IDEOGRAPHS}]*')", f"regexp_extract(t, '[{IDEOGRAPHS}]*$')"
@@ -89,6 +121,7 @@ def consistent_sql(source: str, keys: str) -> str:
         WHEN t IN ('ー', '一') AND regexp_matches(before, '[0-9]$') AND regexp_matches(after, '^[0-9]') THEN '-'
         WHEN t = 'ー' AND regexp_matches(before, '\\p{{Latin}}$') AND regexp_matches(after, '^\\p{{Latin}}') THEN '-'
         WHEN t = 'ー' AND regexp_matches(before, '[{NUMERALS}]$') AND regexp_matches(after, '^[{NUMERALS}]') THEN '-'
+        WHEN t = 'ー' AND regexp_matches(before, '[ぁ-ゖ]$') AND NOT regexp_matches(after, '^[{COUNTERS}]') THEN t
         WHEN length(t) = 1 AND regexp_matches(t, '[{ALONE}]')
              AND (regexp_matches(before, '{ideograph}$') OR regexp_matches(after, '^{ideograph}')) THEN {to_han('t')}
         WHEN regexp_matches(t, '^[ニハ二八一]+$') AND regexp_matches(t, '[ニハ]')
@@ -101,7 +134,12 @@ def consistent_sql(source: str, keys: str) -> str:
         END"""
     # translate builds its table for every value, so only values that hold such a character go there
     mapped = f"CASE WHEN regexp_matches(v, '{_MAPPED}') THEN translate(v, {_q(compat)}, {_q(plain)}) ELSE v END"
-    folded = f"nfc_normalize(regexp_replace({mapped}, '{_INVISIBLE}', '', 'g'))"
+    signs = _signs()
+    sign = "[" + "".join(signs) + "]"
+    listed = "MAP {" + ", ".join(f"{_q(a)}: {_q(b)}" for a, b in signs.items()) + "}"
+    spelled = f"array_to_string(list_transform(regexp_extract_all(m, '{sign}|[^{sign[1:-1]}]+'), lambda t: coalesce({listed}[t], t)), '')"
+    whole = f"CASE WHEN regexp_matches(m, '{sign}') THEN {spelled} ELSE m END"
+    folded = f"nfc_normalize(regexp_replace({whole}, '{_INVISIBLE}', '', 'g'))"
     words = f"array_to_string(list_transform(regexp_extract_all(u, '[{letters}]+|[^{letters}]+'), lambda t: {word}), '')"
     neighbours = "{'t': t, 'before': CASE WHEN i > 1 THEN ws[i - 1] ELSE '' END, 'after': coalesce(ws[i + 1], '')}"
     runs = f"""array_to_string(list_transform([regexp_extract_all(u, '[{run}]+|[^{run}]+')], lambda ws: list_transform(
@@ -110,8 +148,9 @@ def consistent_sql(source: str, keys: str) -> str:
     apart = "[^ァ-ヺー]"
     doubtful = f"regexp_matches(u, '[{IDEOGRAPHS}]|(^|{apart})([{ALONE}]|[ニハ]+)({apart}|$)')"
     return f"""
-    WITH a AS (SELECT {keys}, v, {folded} AS u FROM {source}),
-    b AS (SELECT {keys}, v, CASE WHEN regexp_matches(u, '[\\p{{Greek}}\\p{{Cyrillic}}]') THEN {words} ELSE u END AS u FROM a)
+    WITH m AS (SELECT {keys}, v, {mapped} AS m FROM {source}),
+    a AS (SELECT {keys}, v, {folded} AS u FROM m),
+    b AS (SELECT {keys}, v, CASE WHEN regexp_matches(u, '{foreign}') THEN {words} ELSE u END AS u FROM a)
     SELECT {keys}, v, CASE WHEN {doubtful} THEN nfc_normalize({runs}) ELSE u END AS w FROM b"""
 
 
@@ -162,18 +201,17 @@ def with_consistent(df: DataFrame, fields: Sequence[str]) -> DataFrame:
         con = _connection()
         source = " UNION ALL ".join(f"SELECT k, {i} AS f, f{i} AS v FROM batch WHERE f{i} IS NOT NULL" for i in range(len(names)))
         sql = f"SELECT k, f, w FROM ({consistent_sql(f'({source})', 'k, f')})"
+        numbers, chosen = ", ".join(str(i) for i in range(len(names))), ", ".join(f'p."{i}"' for i in range(len(names)))
         for b in batches:
             at = [b.schema.get_field_index(n) for n in names]
             batch = pa.table([pa.array(range(b.num_rows), pa.int64()), *[b.column(i).cast(pa.string()) for i in at]], names=["k", *[f"f{i}" for i in range(len(names))]])
             con.register("batch", batch)
-            k, f, w = (c.to_pylist() for c in con.sql(sql).to_arrow_table().columns)
+            wide = con.sql(f"SELECT {chosen} FROM batch LEFT JOIN (PIVOT ({sql}) ON f IN ({numbers}) USING any_value(w) GROUP BY k) p ON batch.k = p.k ORDER BY batch.k").to_arrow_table()
             con.unregister("batch")
-            new = [[None] * b.num_rows for _ in names]
-            for x, y, z in zip(k, f, w):
-                new[y][x] = z
+            new = [wide.column(x).combine_chunks() for x in range(len(names))]
             columns = list(b.columns)
             for i, values in zip(at, new):
-                columns[i] = pa.array(values, pa.string())
+                columns[i] = values.cast(pa.string())
             yield pa.RecordBatch.from_arrays(columns, b.schema.names)
 
     return df.mapInArrow(run, schema)
