@@ -261,17 +261,19 @@ _PARTS = """CASE WHEN length(town_read) >= 2 THEN flatten(transform(sequence(gre
 
 
 def _meeting_towns(forms: DataFrame) -> DataFrame:
-    """``(a, b)`` of all forms that are one place, complete by the pigeonhole principle: a reading's slip is two edits at most."""
-    fields = F.struct("id", *_FIELDS)
+    """``(a, b)`` of all forms that are one place, complete by the pigeonhole principle: a reading's slip is two edits at most.
+
+    Only ids meet, each as the hash of lots, kind and a piece of the town; the forms are fetched for distinct pairs.
+    """
 
     def side(keys: str, name: str) -> DataFrame:
         every = F.array_distinct(F.concat(F.expr(_WRITTEN), F.expr(keys)))
-        return forms.select(fields.alias(name), F.explode(every).alias("key")).select(F.xxhash64(f"{name}.lots", f"{name}.kind", "key").alias("h"), name)
+        return forms.select(F.col("id").alias(name), "lots", "kind", F.explode(every).alias("key")).select(F.xxhash64("lots", "kind", "key").alias("h"), name)
 
-    met = side(_SEGMENTS, "l").join(side(_PARTS, "r"), "h")
-    return met.where((F.col("l.id") != F.col("r.id")) & (F.col("l.lots") == F.col("r.lots")) & (F.col("l.kind") == F.col("r.kind")) & _one_place()).select(
-        F.least("l.id", "r.id").alias("a"), F.greatest("l.id", "r.id").alias("b")
-    )
+    met = side(_SEGMENTS, "x").join(side(_PARTS, "y"), "h").where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    fields = F.struct("id", *_FIELDS)
+    whole = met.join(forms.select(F.col("id").alias("a"), fields.alias("l")), "a").join(forms.select(F.col("id").alias("b"), fields.alias("r")), "b")
+    return whole.where((F.col("l.lots") == F.col("r.lots")) & (F.col("l.kind") == F.col("r.kind")) & _one_place()).select("a", "b")
 
 
 def same_place_pairs(forms: DataFrame, window: int = WINDOW) -> DataFrame:
