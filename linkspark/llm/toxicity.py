@@ -1,17 +1,19 @@
 """Abusive, hateful or sexually explicit sentences, by two Kneser-Ney models (problem 8).
 
 Two language models over tokens are fitted from hand-labelled documents, one of unwanted and one of ordinary sentences.
-Each interpolates its own discounted counts at the higher orders with lower orders whose continuation counts are SHARED
-by the two: where a class has not seen an expression, both fall back on the same probability and the expression decides
-nothing. A sentence's score is the difference of the two log-likelihoods divided by its number of tokens, a document's
-score that of its worst sentence.
+Each is an interpolated Kneser-Ney model: discounted counts of the class at the highest order, continuation counts (in
+how many contexts of the class an expression stands) below it, and normalised backoff weights. The lowest order is SHARED
+by the two: what a class has not seen falls back on one distribution for both, so that rare words decide nothing by
+themselves. A sentence's score is the difference of the two log-likelihoods divided by its number of tokens, a
+document's score that of its worst sentence.
 
 Labels are of documents and partly wrong. So the sentences of a document labelled unwanted are divided again after each
-round of fitting: those that the models find ordinary go to the ordinary class. Scores that set the threshold come from
-models that were fitted without the document.
+round of fitting, by models that don't know the document: ordinary ones go to the ordinary class, and where none is
+unwanted nothing is learnt of those that the models can't place. Scores that set the threshold come from models that
+were fitted without the document, and few labels move it from ``PRIOR_THRESHOLD`` by little.
 
-Fitting takes at most ``MOST_LABELLED`` labelled documents (a documented bound, by a hash of the id); everything else,
-scoring and rates, goes over all documents and whole texts.
+Fitting takes at most ``MOST_LABELLED`` labelled documents with ``MOST_CHARACTERS`` characters (documented bounds, by a
+hash of the id); everything else, scoring and rates, goes over all documents and whole texts.
 """
 
 from __future__ import annotations
@@ -23,7 +25,7 @@ from collections import Counter, defaultdict
 from collections.abc import Iterable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from linkspark.llm.fold import CYRILLIC, GREEK, LATIN_OF_CYRILLIC, LATIN_OF_GREEK
@@ -31,12 +33,18 @@ from linkspark.llm.spread import spread
 
 #: Labelled documents that are used for fitting at most.
 MOST_LABELLED = 20_000
-ORDER = 4
+#: Characters of these at most; the texts that are taken are taken whole.
+MOST_CHARACTERS = 50_000_000
+ORDER = 3
 DISCOUNT = 0.75
 ROUNDS = 2
-FOLDS = 3
+FOLDS = 5
 #: Score from which, either way, a sentence contradicts the label of its document.
-SURE = 0.4
+SURE = 2.0
+#: F1 values on held-out labels that differ by no more than this are equal, as labels are wrong by more.
+TOLERANCE = 0.01
+#: The threshold before any label is seen, and how many unwanted labels it weighs.
+PRIOR_THRESHOLD, PRIOR_WEIGHT = 0.4, 200
 #: Tokens of a stretch without an end of sentence that are scored at a time, and by how many the next one starts later.
 STRETCH, STEP = 48, 24
 
@@ -93,66 +101,76 @@ def sentences(text: str | None) -> list[tuple[str, ...]]:
 
 
 class ClassModels:
-    """Kneser-Ney models of several classes over shared continuation counts."""
+    """Interpolated Kneser-Ney models of several classes over one shared lowest order."""
 
     def __init__(self, weighted: Iterable[tuple[tuple[str, ...], int, float]], names: frozenset = frozenset(), classes: int = 2, order: int = ORDER, discount: float = DISCOUNT):
         """weighted: sentences with their class and how often they occur in it. names: tokens that stand for any name."""
-        self.names, sizes = names, [0.0] * classes
-        self.order, self.discount, self.classes = order, discount, classes
-        grams = [defaultdict(lambda: [0.0] * classes) for _ in range(order + 1)]  # by length
+        self.names, self.order, self.discount, self.classes = names, order, discount, classes
+        sizes = [0.0] * classes
+        seen = [defaultdict(lambda: [0.0] * classes) for _ in range(order + 1)]  # by length
         for s, c, w in weighted:
             sizes[c] += w
-            s = tuple("<name>" if t in names else t for t in s)
-            padded = ("<s>",) * (order - 1) + s + ("</s>",)
+            padded = self._padded(s)
             for i in range(order - 1, len(padded)):
                 for n in range(2, order + 1):
-                    grams[n][padded[i - n + 1 : i + 1]][c] += w
-        self.grams = [dict(g) for g in grams]
+                    seen[n][padded[i - n + 1 : i + 1]][c] += w
         self.odds = math.log(max(sizes[0], 1) / max(sizes[1], 1))
-        # the class's own counts of histories, and how many words follow them
-        self.total = [defaultdict(lambda: [0.0] * classes) for _ in range(order + 1)]
-        self.kinds = [defaultdict(lambda: [0] * classes) for _ in range(order + 1)]
+        # below the highest order: before how many words an expression stands; what begins a sentence is counted as it is
+        self.grams: list[dict] = [{} for _ in range(order + 1)]
+        self.grams[order] = dict(seen[order])
+        for n in range(2, order):
+            contexts = defaultdict(lambda: [0.0] * classes)
+            for g, counts in seen[n + 1].items():
+                for c, x in enumerate(counts):
+                    contexts[g[1:]][c] += x > 0
+            self.grams[n] = dict(contexts) | {g: counts for g, counts in seen[n].items() if g[0] == "<s>"}
+        # counts of histories, and how many words follow them
+        self.total: list[dict] = [{} for _ in range(order + 1)]
+        self.kinds: list[dict] = [{} for _ in range(order + 1)]
         for n in range(2, order + 1):
+            total, kinds = defaultdict(lambda: [0.0] * classes), defaultdict(lambda: [0] * classes)
             for g, counts in self.grams[n].items():
-                t, k = self.total[n][g[:-1]], self.kinds[n][g[:-1]]
+                t, k = total[g[:-1]], kinds[g[:-1]]
                 for c, x in enumerate(counts):
                     t[c] += x
                     k[c] += x > 0
-        # shared: in how many different contexts a word stands, whichever class they are of
-        self.contexts = Counter(g[-1] for g in self.grams[2])
+            self.total[n], self.kinds[n] = dict(total), dict(kinds)
+        # shared: before how many words a word stands, whichever class they are of
+        self.contexts = Counter(g[-1] for g in seen[2])
         self.all_contexts = sum(self.contexts.values())
-        for name in ("total", "kinds"):
-            setattr(self, name, [dict(x) for x in getattr(self, name)])
+
+    def _padded(self, sentence: tuple[str, ...]) -> tuple[str, ...]:
+        if self.names:
+            sentence = tuple("<name>" if t in self.names else t for t in sentence)
+        return ("<s>",) * (self.order - 1) + tuple(sentence) + ("</s>",)
 
     def shared(self, word: str) -> float:
-        """The backoff probability that all classes fall back on; new words have the discounted mass."""
-        d, n = self.discount, max(self.all_contexts, 1)
-        return max(self.contexts.get(word, 0) - d, 0) / n + d * max(len(self.contexts), 1) / n / (len(self.contexts) + 1)
+        """The probability that all classes fall back on; the discounted mass is spread over known words and one unknown."""
+        d, n, known = self.discount, self.all_contexts, len(self.contexts)
+        if not n:
+            return 1.0
+        return max(self.contexts.get(word, 0) - d, 0) / n + d * known / n / (known + 1)
+
+    def probabilities(self, history: tuple[str, ...], word: str) -> list[float]:
+        """The probability of a word behind a history, by class; over all known words and one unknown they sum to 1."""
+        d, none = self.discount, (0.0,) * self.classes
+        p = [self.shared(word)] * self.classes
+        for n in range(2, self.order + 1):
+            h = history[len(history) - n + 1 :]
+            total = self.total[n].get(h)
+            if total is None:
+                break
+            counts, kinds = self.grams[n].get((*h, word), none), self.kinds[n][h]
+            p = [p[c] if not total[c] else (max(counts[c] - d, 0) + d * kinds[c] * p[c]) / total[c] for c in range(self.classes)]
+        return p
 
     def gain(self, sentence: tuple[str, ...]) -> float:
         """Log-likelihood of the sentence in class 1 minus that in class 0 and minus the log odds of the classes, per token."""
-        if self.names:
-            sentence = tuple("<name>" if t in self.names else t for t in sentence)
-        padded = ("<s>",) * (self.order - 1) + sentence + ("</s>",)
-        d, sum_ = self.discount, -self.odds
+        padded, gained = self._padded(sentence), -self.odds
         for i in range(self.order - 1, len(padded)):
-            w = padded[i]
-            p = [self.shared(w)] * 2
-            for n in range(2, self.order + 1):
-                h = padded[i - n + 1 : i]
-                total = self.total[n].get(h)
-                if total is None:
-                    break
-                counts = self.grams[n].get((*h, w))
-                if counts is None:
-                    continue  # new to both: they fall back alike, by the mass of the pooled counts
-                kinds = self.kinds[n][h]
-                p = [
-                    p[c] if not total[c] else max(counts[c] - d, 0) / total[c] + min(d * kinds[c], total[c]) / total[c] * p[c]
-                    for c in (0, 1)
-                ]
-            sum_ += math.log(p[1]) - math.log(p[0])
-        return sum_ / (len(sentence) + 1)
+            p = self.probabilities(padded[i - self.order + 1 : i], padded[i])
+            gained += math.log(p[1]) - math.log(p[0])
+        return gained / (len(sentence) + 1)
 
 
 Labelled = list[tuple[list[tuple[str, ...]], int]]
@@ -178,8 +196,8 @@ def divide(labelled: Labelled, names: frozenset = frozenset(), rounds: int = ROU
     """For each sentence of each labelled document its class, None for neither; and the models fitted without each fold.
 
     A sentence of a document labelled unwanted is unwanted if models that don't know the document find it so, and so is
-    the worst one of such a document, unless it is ordinary by far; the others are ordinary. A sentence of a document
-    labelled ordinary that is unwanted by far is left out.
+    the worst one of such a document, unless it is ordinary by far; the others are ordinary if there is an unwanted one,
+    and left out otherwise. A sentence of a document labelled ordinary that is unwanted by far is left out.
     """
     classes: list[list[int | None]] = [[label] * len(doc) for doc, label in labelled]
     models: list[ClassModels] = []
@@ -196,7 +214,7 @@ def divide(labelled: Labelled, names: frozenset = frozenset(), rounds: int = ROU
             worst = max(gains, default=0.0)
             for j, g in enumerate(gains):
                 if label:
-                    classes[i][j] = int(g > 0 or (g == worst and g > -SURE))
+                    classes[i][j] = 1 if g > 0 or (g == worst and g > -SURE) else 0 if worst > 0 else None
                 else:
                     classes[i][j] = None if g > SURE else 0
     return classes, models
@@ -226,30 +244,35 @@ def score_document(models: ClassModels, doc: list[tuple[str, ...]], memory: dict
 
 
 def fit(labelled: Labelled, names: frozenset = frozenset()) -> tuple[ClassModels, float]:
-    """Models and the threshold of the score with the best F1 over labelled documents that the models didn't know."""
+    """Models and the threshold of the score: the middle of those whose F1 over labelled documents that the models
+    didn't know is the best within TOLERANCE, moved towards PRIOR_THRESHOLD as that weighs PRIOR_WEIGHT unwanted labels."""
     classes, held_out = divide(labelled, names)
     scored = [(score_document(held_out[i % len(held_out)], doc), label) for i, (doc, label) in enumerate(labelled)]
     scored = sorted(((x, label) for x, label in scored if x is not None), reverse=True)
     positives = sum(label for _, label in scored)
-    best, threshold, hits = -1.0, 0.0, 0
+    cuts, hits = [], 0
     for i, (x, label) in enumerate(scored):
         hits += label
         below = scored[i + 1][0] if i + 1 < len(scored) else x - 1
-        f1 = 2 * hits / (i + 1 + positives)
-        if f1 > best and below < x:
-            best, threshold = f1, (x + below) / 2
+        if below < x:
+            cuts.append((2 * hits / (i + 1 + positives), (x + below) / 2))
+    best = max(f1 for f1, _ in cuts)
+    good = [t for f1, t in cuts if f1 >= best - TOLERANCE]
+    threshold = (positives * (min(good) + max(good)) / 2 + PRIOR_WEIGHT * PRIOR_THRESHOLD) / (positives + PRIOR_WEIGHT)
     return fit_models([(doc, c) for (doc, _), c in zip(labelled, classes)], names), threshold
 
 
-def labelled_sample(documents: DataFrame, labels: DataFrame, most: int = MOST_LABELLED) -> DataFrame:
-    """``(id, text, lang, label)`` of at most ``most`` labelled documents, chosen by a hash of the id.
+def labelled_sample(documents: DataFrame, labels: DataFrame, most: int = MOST_LABELLED, characters: int = MOST_CHARACTERS) -> DataFrame:
+    """``(doc_id, text, lang, label)`` of at most ``most`` labelled documents of ``characters`` together, by a hash of the id.
 
     Of several labels of a document the mean decides, a half counting as unwanted; null labels count for nothing.
     """
     said = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg((F.avg("toxic") >= 0.5).cast("int").alias("label"))
     lang = F.col("lang") if "lang" in documents.columns else F.lit(None).cast("string")
     texts = documents.where(F.col("text").isNotNull()).select(F.col("doc_id"), "text", lang.alias("lang"))
-    return texts.join(F.broadcast(said.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)), "doc_id").dropDuplicates(["doc_id"])
+    sample = texts.join(F.broadcast(said.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)), "doc_id").dropDuplicates(["doc_id"])
+    upto = F.sum(F.length("text")).over(Window.orderBy(F.xxhash64("doc_id"), "doc_id"))  # over the sample alone
+    return sample.withColumn("upto", upto).where(F.col("upto") <= characters).drop("upto")
 
 
 def fit_from_tables(documents: DataFrame, labels: DataFrame, most: int = MOST_LABELLED) -> tuple[ClassModels, float]:

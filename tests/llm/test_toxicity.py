@@ -53,3 +53,29 @@ def test_new_expressions_decide_nothing():
     m = T.ClassModels([(("a", "b", "c"), 0, 5.0), (("d", "e", "f"), 1, 5.0)])
     assert m.gain(("d", "e", "f")) > 0 > m.gain(("a", "b", "c"))
     assert abs(m.gain(("x", "y", "z"))) < 0.1
+
+
+def test_models_are_normalised():
+    rnd = random.Random(9)
+    words = ["a", "b", "c", "d", "e"]
+    m = T.ClassModels([(tuple(rnd.choice(words) for _ in range(rnd.randint(1, 5))), rnd.randint(0, 1), float(rnd.randint(1, 3))) for _ in range(60)] + [(("f",), 1, 1.0)])
+    known = [*words, "f", "</s>"]
+    assert set(m.contexts) == set(known)
+    for history in [("<s>", "<s>"), ("<s>", "a"), ("a", "b"), ("f", "f"), ("x", "a"), ("x", "y")]:
+        for c in (0, 1):
+            total = sum(m.probabilities(history, w)[c] for w in [*known, "unknown"])
+            assert abs(total - 1) < 1e-9, (history, c, total)
+
+
+def test_middle_orders_count_contexts():
+    # "san francisco" is frequent but stands in one context; "the cat" in two
+    m = T.ClassModels([(("in", "san", "francisco"), 0, 9.0), (("on", "the", "cat"), 0, 1.0), (("at", "the", "cat"), 0, 1.0), (("x",), 1, 1.0)])
+    assert m.grams[2][("san", "francisco")][0] == 1 and m.grams[2][("the", "cat")][0] == 2 and m.grams[3][("in", "san", "francisco")][0] == 9
+    assert m.grams[2][("<s>", "in")][0] == 9
+
+
+def test_sample_is_bounded_in_characters(spark):
+    docs = spark.createDataFrame([(i, "x" * 10, "en") for i in range(50)], "doc_id bigint, text string, lang string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(50)], "doc_id bigint, toxic int")
+    assert T.labelled_sample(docs, labels, 20).count() == 20 and T.labelled_sample(docs, labels, 20, 75).count() == 7
+    assert {len(r.text) for r in T.labelled_sample(docs, labels, 20, 75).collect()} == {10}
