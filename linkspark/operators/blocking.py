@@ -16,16 +16,53 @@ def ngram_index(entities: DataFrame, fields: tuple[str, ...], key: str = "id") -
     return rows.select("entity_id", F.explode(trigrams(F.col("text"))).alias("ngram"), "source_field")
 
 
-def trigram_block(queries: DataFrame, text: str, ngrams: DataFrame, limit: int, query_id: str = "query_id") -> DataFrame:
-    """``(query_id, entity_id, match_count, rank)``: the entities that share most postings with the query's trigrams.
+#: Rows of query grams that are broadcast at most; more of them meet the index in salted buckets.
+MOST_BROADCAST_GRAMS = 1_000_000
+#: From so many texts on, counts are made where the postings of an entity lie together, as their pairs outnumber the index.
+MANY_TEXTS = 64
+#: Buckets of entities among which the postings of a gram are spread where the queries are too many to broadcast.
+BUCKETS = 64
 
-    match_count counts postings, so an entity scores once for every field. Ties at the limit go to the smaller id. The
-    count is aggregated on the map side behind the join; only queries' postings are ever joined.
+
+def _shared_grams(wanted: DataFrame, n_texts: int, n_grams: int, ngrams: DataFrame, by: list[str], repeated: bool) -> DataFrame:
+    """``(<by>, entity_id, match_count)`` of ``wanted (<by>, ngram)``; no task depends on how often a gram occurs.
+
+    A few grams hold most postings, so that a join partitioned by gram would hang on them. Up to MOST_BROADCAST_GRAMS
+    the query grams go to the postings: of many texts these are partitioned by entity first, and then neither the
+    join nor the count moves a pair. Beyond, every gram is split into buckets of entities.
+    """
+    postings = ngrams.select("entity_id", "ngram", *(["source_field"] if repeated else []))
+    once = (lambda df: df.distinct()) if repeated else (lambda df: df)
+    if n_grams <= MOST_BROADCAST_GRAMS:
+        met = postings.join(F.broadcast(wanted.select("ngram").distinct()), "ngram", "left_semi")
+        if n_texts >= MANY_TEXTS:
+            spark = ngrams.sparkSession
+            met = met.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism), "entity_id")
+        met = once(met).join(F.broadcast(wanted), "ngram")
+    else:
+        salted = wanted.withColumn("bucket", F.explode(F.sequence(F.lit(0), F.lit(BUCKETS - 1))))
+        met = once(postings).withColumn("bucket", F.pmod(F.xxhash64("entity_id"), F.lit(BUCKETS)).cast("int")).join(salted, ["ngram", "bucket"])
+    return met.groupBy(*by, "entity_id").agg(F.count("*").alias("match_count"))
+
+
+def trigram_blocks(queries: DataFrame, texts: dict[int, str], ngrams: DataFrame, limit: int, query_id: str = "query_id", repeated: bool = False) -> DataFrame:
+    """``(query_id, channel, entity_id, match_count, rank)``: for each channel's text column the entities that share most postings.
+
+    match_count counts postings, so an entity scores once for every field. Ties at the limit go to the smaller id. A
+    text that is null or empty has no entities. All channels are answered by one pass over the index. repeated: postings
+    ``(entity_id, ngram, source_field)`` may stand in the index more than once and count once.
     """
-    wanted = queries.where(F.col(text) != "").select(F.col(query_id).alias("query_id"), F.explode(trigrams(F.col(text))).alias("ngram"))
-    counts = wanted.join(ngrams.select("entity_id", "ngram"), "ngram").groupBy("query_id", "entity_id").agg(F.count("*").alias("match_count"))
-    best = Window.partitionBy("query_id").orderBy(F.desc("match_count"), "entity_id")
-    return counts.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= limit)
+    asked = F.inline(F.array(*[F.struct(F.lit(c).alias("channel"), F.col(t).alias("t")) for c, t in texts.items()]))
+    wanted = queries.select(F.col(query_id).alias("query_id"), asked).where("t <> ''").select("query_id", "channel", F.explode(trigrams(F.col("t"))).alias("ngram"))
+    size = wanted.agg(F.count_distinct("query_id", "channel").alias("texts"), F.count("*").alias("grams")).first()
+    counts = _shared_grams(wanted, size["texts"], size["grams"], ngrams, ["query_id", "channel"], repeated)
+    best = Window.partitionBy("query_id", "channel").orderBy(F.desc("match_count"), "entity_id")
+    return counts.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= limit).select("query_id", "channel", "entity_id", "match_count", "rank")
+
+
+def trigram_block(queries: DataFrame, text: str, ngrams: DataFrame, limit: int, query_id: str = "query_id", repeated: bool = False) -> DataFrame:
+    """``(query_id, entity_id, match_count, rank)``: trigram_blocks of one text column."""
+    return trigram_blocks(queries, {1: text}, ngrams, limit, query_id, repeated).drop("channel")
 
 
 def phonetic_block(queries: DataFrame, key: str, entities: DataFrame, limit: int, prefix: int = 4, query_id: str = "query_id", entity_id: str = "id", entity_key: str = "phonetic_key") -> DataFrame:
@@ -38,16 +75,14 @@ def phonetic_block(queries: DataFrame, key: str, entities: DataFrame, limit: int
     return wanted.join(there, "p").select("query_id", "entity_id", "rank")
 
 
-def candidates(queries: DataFrame, entities: DataFrame, ngrams: DataFrame, settings: ResolverSettings, phonetic: bool = True) -> DataFrame:
+def candidates(queries: DataFrame, entities: DataFrame, ngrams: DataFrame, settings: ResolverSettings, phonetic: bool = True, repeated: bool = False) -> DataFrame:
     """``(query_id, entity_id, channel, channel_rank, cand_ord, n_trigram, n_phonetic)``: the channels' union, each entity once where it is seen first.
 
     Channels: trigrams of the normalised form, trigrams of the romanised form where that is another one, phonetic
     prefix. queries: ``query_id, q_normalized, q_romaji, q_phonetic``.
     """
-    one = trigram_block(queries, "q_normalized", ngrams, settings.trigram_candidate_limit).select("query_id", "entity_id", F.lit(1).alias("channel"), "rank")
-    other = queries.where(F.col("q_romaji") != F.col("q_normalized"))
-    two = trigram_block(other, "q_romaji", ngrams, settings.trigram_candidate_limit).select("query_id", "entity_id", F.lit(2).alias("channel"), "rank")
-    seen = one.unionByName(two)
+    other = queries.withColumn("q_romaji", F.when(F.col("q_romaji") != F.col("q_normalized"), F.col("q_romaji")))
+    seen = trigram_blocks(other, {1: "q_normalized", 2: "q_romaji"}, ngrams, settings.trigram_candidate_limit, repeated=repeated).select("query_id", "entity_id", "channel", "rank")
     if phonetic:
         seen = seen.unionByName(phonetic_block(queries, "q_phonetic", entities, settings.phonetic_candidate_limit, settings.phonetic_prefix).select("query_id", "entity_id", F.lit(3).alias("channel"), "rank"))
     first = seen.groupBy("query_id", "entity_id").agg(

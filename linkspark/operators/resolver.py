@@ -11,7 +11,7 @@ from linkspark.functions.text import strip
 from linkspark.operators.blocking import candidates
 from linkspark.operators.ensemble import Ensemble
 from linkspark.operators.entity_types import COMPANY, EntityTypeConfig
-from linkspark.operators.explain import blocking_step, query_steps, scoring_step
+from linkspark.operators.explain import STEP, blocking_step, query_steps, scoring_step
 from linkspark.operators.forms import FORMS, with_query_forms
 from linkspark.settings import ResolverSettings
 from linkspark.sources.tables import cut
@@ -39,6 +39,14 @@ def band(score) -> F.Column:
     return F.when(score >= 0.7, "high").when(score >= 0.4, "medium").otherwise("low")
 
 
+@dataclass(frozen=True)
+class Prepared:
+    """What searches of the same requests share."""
+
+    forms: DataFrame
+    candidates: DataFrame
+
+
 @dataclass
 class Resolver:
     """Resolves queries against a registry and its n-gram index ``(entity_id, ngram, ...)``."""
@@ -49,6 +57,8 @@ class Resolver:
     settings: ResolverSettings = field(default_factory=ResolverSettings)
     ensemble: Ensemble | None = None
     lexicon: dict[str, str] | None = None
+    #: Whether the index may hold a posting more than once.
+    repeated_postings: bool = False
 
     def __post_init__(self) -> None:
         self.ensemble = self.ensemble or Ensemble(text_pairs=self.config.text_pairs, phonetic_pairs=self.config.phonetic_pairs)
@@ -59,8 +69,14 @@ class Resolver:
         # written once: every channel, the scores and the explanations read them
         return cut(with_query_forms(texts, "text", self.config, lexicon=self.lexicon))
 
+    def prepared(self, requests: DataFrame) -> Prepared:
+        """Forms and candidates of validated requests, each written once, for matches() and summaries() of the same requests."""
+        forms = self.query_forms(requests)
+        return Prepared(forms, cut(self.candidates(forms)))
+
     def candidates(self, forms: DataFrame) -> DataFrame:
-        return candidates(forms, self.entities, self.ngrams, self.settings, bool(self.config.phonetic_pairs))
+        """The candidates of blocking for query_forms()."""
+        return candidates(forms, self.entities, self.ngrams, self.settings, bool(self.config.phonetic_pairs), self.repeated_postings)
 
     def _meet(self, pairs: DataFrame, forms: DataFrame) -> DataFrame:
         """Pairs of ``query_id`` and ``entity_id`` with both sides' prepared texts; only compared columns of the registry are read."""
@@ -75,19 +91,20 @@ class Resolver:
         joined = pairs.join(stored.select(F.col("id").alias("entity_id"), *mine(stored, "c")), "entity_id")
         return joined.join(asked.select("query_id", *mine(asked, "q")), "query_id")
 
-    def scored(self, forms: DataFrame) -> DataFrame:
+    def scored(self, ready: Prepared) -> DataFrame:
         """``(query_id, entity_id, cand_ord, n_trigram, n_phonetic, final_score)`` of every candidate."""
-        return self.ensemble.score(self._meet(self.candidates(forms), forms)).select("query_id", "entity_id", "cand_ord", "n_trigram", "n_phonetic", "final_score")
+        return self.ensemble.score(self._meet(ready.candidates, ready.forms)).select("query_id", "entity_id", "cand_ord", "n_trigram", "n_phonetic", "final_score")
 
-    def matches(self, requests: DataFrame, payload: bool = False, explain: bool = False) -> DataFrame:
+    def matches(self, requests: DataFrame, payload: bool = False, explain: bool = False, ready: Prepared | None = None) -> DataFrame:
         """``(query_id, rank, entity_id, entity_name, score, band, best_strategy, strategy_results, ...)`` of validated requests.
 
         Candidates below the threshold are left out, the others are ranked by score and then by the order of blocking,
         up to each request's own limit. payload adds the entity as ``entity_data``, read for kept matches only; explain
         adds ``explanations``, the steps up to that match.
         """
-        forms = self.query_forms(requests)
-        scored = self.scored(forms).where(F.col("final_score") >= self.settings.min_score_threshold)
+        ready = ready or self.prepared(requests)
+        forms = ready.forms
+        scored = self.scored(ready).where(F.col("final_score") >= self.settings.min_score_threshold)
         best = Window.partitionBy("query_id").orderBy(F.desc("final_score"), "cand_ord")
         kept = scored.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= self.settings.max_limit)
         # the breakdown is made for kept matches only
@@ -102,9 +119,7 @@ class Resolver:
         asked = requests.where("status = 'ok'").select("query_id", "text", "limit").join(owners, "text").drop("text")
         out = asked.join(kept.withColumnRenamed("query_id", "text_id"), "text_id").where(F.col("rank") <= F.col("limit"))
         if explain:
-            totals = self.candidates(forms).groupBy(F.col("query_id").alias("text_id")).agg(F.count("*").alias("total"), F.max("n_trigram").alias("nt"), F.max("n_phonetic").alias("np"))
-            steps = forms.withColumn("steps", query_steps()).select(F.col("query_id").alias("text_id"), "steps").join(totals, "text_id")
-            steps = steps.select("text_id", F.concat("steps", F.array(blocking_step(F.col("total"), F.col("nt"), F.col("np")))).alias("steps"))
+            steps = self._steps(ready).select("text_id", "steps")
             running = Window.partitionBy("query_id").orderBy("rank").rowsBetween(Window.unboundedPreceding, Window.currentRow)
             out = out.withColumn("one", scoring_step(F.col("entity_name"), F.col("result.final_score"), F.col("result.strategy_results")))
             out = out.withColumn("upto", F.collect_list("one").over(running)).join(steps, "text_id").withColumn("explanations", F.concat("steps", "upto"))
@@ -115,13 +130,27 @@ class Resolver:
             F.col("result.candidate_forms_used").alias("candidate_forms_used"), *(["entity_data"] if payload else []), *(["explanations"] if explain else []),
         )
 
-    def summaries(self, requests: DataFrame) -> DataFrame:
-        """``(query_id, detected_language, total_candidates, status, error)`` of every request, also of rejected ones."""
-        forms = self.query_forms(requests)
-        totals = self.candidates(forms).groupBy("query_id").agg(F.count("*").alias("total"))
-        per_text = forms.join(totals, "query_id", "left").select("text", F.col("q_language").alias("language"), F.coalesce("total", F.lit(0)).alias("total"))
+    def _steps(self, ready: Prepared) -> DataFrame:
+        """``(text_id, text, language, forms, total, steps)``: what is known of a text before its candidates are scored."""
+        totals = ready.candidates.groupBy("query_id").agg(F.count("*").alias("total"), F.max("n_trigram").alias("nt"), F.max("n_phonetic").alias("np"))
+        each = ready.forms.join(totals, "query_id", "left").withColumns({c: F.coalesce(c, F.lit(0)) for c in ("total", "nt", "np")}).withColumn("steps", query_steps())
+        ja = F.col("q_language") == "ja"
+        shown = F.create_map(*[x for f in ("original", "language", "normalized", "romaji", "phonetic") for x in (F.lit(f), F.col(f"q_{f}"))])
+        shown = F.when(ja, F.map_concat(shown, F.create_map(F.lit("variants"), F.array_join("q_variants", ",")))).otherwise(shown)
+        steps = F.concat("steps", F.array(blocking_step(F.col("total"), F.col("nt"), F.col("np"))))
+        return each.select(F.col("query_id").alias("text_id"), "text", F.col("q_language").alias("language"), shown.alias("forms"), "total", steps.alias("steps"))
+
+    def summaries(self, requests: DataFrame, ready: Prepared | None = None) -> DataFrame:
+        """``(query_id, detected_language, query_forms, total_candidates, processing_steps, status, error)`` of every request.
+
+        Rejected requests have language ``unknown``, no forms and no steps; requests without matches have theirs.
+        """
+        per_text = self._steps(ready or self.prepared(requests)).drop("text_id")
         out = requests.join(per_text, "text", "left")
-        return out.select("query_id", F.coalesce("language", F.lit("unknown")).alias("detected_language"), F.coalesce("total", F.lit(0)).alias("total_candidates"), "status", "error")
+        return out.select(
+            "query_id", F.coalesce("language", F.lit("unknown")).alias("detected_language"), F.coalesce("forms", F.create_map().cast("map<string,string>")).alias("query_forms"),
+            F.coalesce("total", F.lit(0)).alias("total_candidates"), F.coalesce("steps", F.array().cast(f"array<{STEP}>")).alias("processing_steps"), "status", "error",
+        )
 
 
 def compare(pairs: DataFrame, a: str = "name_a", b: str = "name_b", config: EntityTypeConfig = COMPANY, ensemble: Ensemble | None = None, lexicon: dict[str, str] | None = None) -> DataFrame:

@@ -23,21 +23,23 @@ PENDING, PROCESSING, COMPLETED, FAILED = "pending", "processing", "completed", "
 
 
 def batch_results(resolver: Resolver, requests: DataFrame) -> DataFrame:
-    """One row per request, in its order's column: ``(query_id, query, matches, total_candidates, status, error)``.
+    """One row per request: ``(query_id, query, matches, total_candidates, status, error)``.
 
     requests: ``(query_id, query_text, max_results)``. A rejected request has status ``error`` and no matches and
-    doesn't touch the others. Matches are structs ``(rank, name, id, score)`` by rank.
+    doesn't touch the others. Matches are structs ``(rank, entity_name, entity_type, entity_data, id, score)`` by rank.
     """
     checked = validated(requests, resolver.settings)
-    found = resolver.matches(checked).groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", F.col("entity_name").alias("name"), F.col("entity_id").alias("id"), "score"))).alias("matches"))
-    none = F.array().cast("array<struct<rank:int,name:string,id:bigint,score:double>>")
-    out = checked.join(resolver.summaries(checked).select("query_id", "total_candidates"), "query_id").join(found, "query_id", "left")
+    ready = resolver.prepared(checked)
+    match = F.struct("rank", "entity_name", F.lit(resolver.config.name).alias("entity_type"), "entity_data", F.col("entity_id").alias("id"), "score")
+    found = resolver.matches(checked, payload=True, ready=ready).groupBy("query_id").agg(F.array_sort(F.collect_list(match)).alias("matches"))  # at most max_limit
+    none = F.array().cast(found.schema["matches"].dataType)
+    out = checked.join(resolver.summaries(checked, ready).select("query_id", "total_candidates"), "query_id").join(found, "query_id", "left")
     return out.select("query_id", F.col("text").alias("query"), F.coalesce("matches", none).alias("matches"), "total_candidates", "status", "error")
 
 
 @dataclass
 class BatchJob:
-    """A job of queries; results are rows of batch_results once it is completed."""
+    """A job of queries; results are dicts of batch_results' columns and ``index``, in the order of the queries."""
 
     id: str
     queries: list[tuple[str, int | None]]
@@ -54,10 +56,14 @@ class BatchJob:
 
 
 class BatchManager:
-    """Jobs of one resolver, each one plan over all of its queries, run in the background under a tag."""
+    """Jobs of one resolver, run in the background under a tag, in slices of queries that are one plan each.
 
-    def __init__(self, resolver: Resolver) -> None:
-        self.resolver, self._jobs = resolver, {}
+    ``completed`` grows with each slice. If a plan fails, its queries are run one by one, and only those that fail
+    alone have status ``error``.
+    """
+
+    def __init__(self, resolver: Resolver, slice_size: int = 25) -> None:
+        self.resolver, self.slice_size, self._jobs = resolver, slice_size, {}
         self.spark: SparkSession = resolver.entities.sparkSession
 
     def submit(self, queries: Sequence[tuple[str, int | None]], wait: bool = False) -> BatchJob:
@@ -82,9 +88,11 @@ class BatchManager:
         try:
             self.spark.addTag(job.id)
             rows = [(i, q, n) for i, (q, n) in enumerate(job.queries)]
-            requests = self.spark.createDataFrame(rows, "query_id bigint, query_text string, max_results int")
-            job.results = batch_results(self.resolver, requests).orderBy("query_id").collect()  # at most batch_max_queries rows
-            job.completed, job.status = job.total, COMPLETED
+            job.results = []
+            for at in range(0, len(rows), self.slice_size):
+                job.results += self._answers(rows[at : at + self.slice_size])
+                job.completed = len(job.results)
+            job.status = COMPLETED
         except Exception as e:  # noqa: BLE001
             log.exception("batch %s failed", job.id)
             job.status, job.error = FAILED, str(e)
@@ -93,6 +101,19 @@ class BatchManager:
             job.finished_at = datetime.now(UTC)
 
 
+    def _answers(self, rows: list[tuple]) -> list[dict]:
+        try:
+            requests = self.spark.createDataFrame(rows, "query_id bigint, query_text string, max_results int")
+            found = batch_results(self.resolver, requests).orderBy("query_id").collect()  # at most slice_size rows
+            return [{"index": x["query_id"], **x.asDict(recursive=True)} for x in found]
+        except Exception as e:  # noqa: BLE001
+            log.warning("batch slice failed: %s", e)
+            if len(rows) > 1:
+                return [x for row in rows for x in self._answers([row])]
+            (i, query, _), = rows
+            return [{"index": i, "query_id": i, "query": query, "matches": [], "total_candidates": 0, "status": "error", "error": str(e)}]
+
+
 class Service:
     """Entity types with their tables, and the calls on them."""
 
@@ -119,11 +140,14 @@ class Service:
         checked = validated(self.spark.createDataFrame([(0, query, limit)], "query_id bigint, query_text string, max_results int"), r.settings)
         if (error := checked.first()["error"]) is not None:
             raise ValueError(error)
-        summary = r.summaries(checked).first()
-        found = r.matches(checked, payload=True, explain=True).orderBy("rank").collect()  # at most max_limit rows
+        ready = r.prepared(checked)
+        summary = r.summaries(checked, ready).first()
+        found = r.matches(checked, payload=True, explain=True, ready=ready).orderBy("rank").collect()  # at most max_limit rows
+        steps = [x.asDict() for x in (found[-1]["explanations"] if found else summary["processing_steps"])]
         return {
-            "query": query, "detected_language": summary["detected_language"], "total_candidates": summary["total_candidates"],
-            "matches": [x.asDict(recursive=True) for x in found], "processing_time_ms": round(1000 * (time.time() - began), 2),
+            "query": query, "entity_type": entity_type, "detected_language": summary["detected_language"], "query_forms": summary["query_forms"],
+            "total_candidates": summary["total_candidates"], "matches": [{"entity_type": entity_type, **x.asDict(recursive=True)} for x in found], "processing_steps": steps,
+            "processing_time_ms": round(1000 * (time.time() - began), 2),
         }
 
     def match(self, name_a: str, name_b: str, entity_type: str = "company") -> dict:
@@ -132,7 +156,9 @@ class Service:
             if not n or len(n) > self.settings.max_query_length:
                 raise ValueError("a name has 1 to %d characters" % self.settings.max_query_length)
         pair = self.spark.createDataFrame([(name_a, name_b)], "name_a string, name_b string")
-        return compare(pair, config=self.types.get(entity_type)).first().asDict(recursive=True)
+        out = compare(pair, config=self.types.get(entity_type)).first().asDict(recursive=True)
+        told = [{"step": f"normalization_{side}", "description": f"Normalized forms for '{name}'", "details": out[f"forms_{side}"]} for side, name in (("a", name_a), ("b", name_b))]
+        return {**out, "explanation": told}
 
     def submit_batch(self, queries: Sequence[tuple[str, int | None]], entity_type: str = "company", wait: bool = False) -> BatchJob:
         return self._batches.setdefault(entity_type, BatchManager(self.resolver(entity_type))).submit(queries, wait)

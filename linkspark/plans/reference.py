@@ -11,7 +11,7 @@ from linkspark.operators.forms import with_query_forms
 from linkspark.operators.resolver import Resolver, compare, unmatched, validated
 from linkspark.operators.service import batch_results
 from linkspark.settings import ResolverSettings
-from linkspark.sources.registry import by_ids, latest_lines, prepare_entities, registry_rows, stats
+from linkspark.sources.registry import by_ids, latest_lines, not_yet_there, numbered, prepare_entities, registry_rows, stats
 from linkspark.sources.tables import cut, table
 
 SETTINGS = ResolverSettings()
@@ -22,8 +22,8 @@ def _companies(s, d):
 
 
 def _postings(s, d):
-    """The n-gram index as it should be: a set of postings, repeated rows once."""
-    return table(s, d, "company_ngrams").select(F.col("company_id").alias("entity_id"), "ngram", "source_field").distinct()
+    """The n-gram index as it is stored, with repeated postings."""
+    return table(s, d, "company_ngrams").select(F.col("company_id").alias("entity_id"), "ngram", "source_field")
 
 
 def _requests(s, d):
@@ -31,7 +31,7 @@ def _requests(s, d):
 
 
 def _resolver(s, d):
-    return Resolver(_companies(s, d), _postings(s, d), COMPANY, SETTINGS)
+    return Resolver(_companies(s, d), _postings(s, d), COMPANY, SETTINGS, repeated_postings=True)
 
 
 def _ascii(c):
@@ -112,9 +112,9 @@ QUERIES = {
     "ensemble_compare": _compared,
     "query_forms": lambda s, d: _forms(s, d).select("query_id", "q_language", "q_script", "q_normalized", "q_romaji", "q_phonetic", F.array_join("q_variants", ",").alias("q_variants"), F.array_join("q_suffixes_removed", ",").alias("q_removed")),
     "ngram_index": lambda s, d: ngram_index(_companies(s, d), COMPANY.ngram_fields).groupBy("source_field", "ngram").count().withColumnRenamed("count", "n"),
-    "trigram_block_topk": lambda s, d: trigram_block(_lookup(s, d), "q_normalized", _postings(s, d), SETTINGS.trigram_candidate_limit),
+    "trigram_block_topk": lambda s, d: trigram_block(_lookup(s, d), "q_normalized", _postings(s, d), SETTINGS.trigram_candidate_limit, repeated=True),
     "phonetic_block_topk": lambda s, d: phonetic_block(_lookup_forms(s, d), "q_phonetic", _companies(s, d), SETTINGS.phonetic_candidate_limit),
-    "candidates_union": lambda s, d: candidates(_lookup_forms(s, d), _companies(s, d), _postings(s, d), SETTINGS).select("query_id", "entity_id", "channel", "channel_rank", "cand_ord"),
+    "candidates_union": lambda s, d: candidates(_lookup_forms(s, d), _companies(s, d), _postings(s, d), SETTINGS, repeated=True).select("query_id", "entity_id", "channel", "channel_rank", "cand_ord"),
     "request_validation": lambda s, d: _requests(s, d).select("query_id", "limit", "status", "error"),
     "resolve_topk": _resolved,
     "explain_running": _explained,
@@ -125,6 +125,8 @@ QUERIES = {
     "lookup_by_ids": lambda s, d: by_ids(_companies(s, d), COMPANY, table(s, d, "search_requests").select("query_id", (-F.col("query_id")).alias("ord")), "query_id").select("id", "corporate_number", "name"),
     "registry_stats": lambda s, d: stats({"company": (_companies(s, d), table(s, d, "company_ngrams"))}),
     "ingest_first_wins": lambda s, d: latest_lines(registry_rows(table(s, d, "registry_rows"))),
+    "ingest_ids": lambda s, d: numbered(latest_lines(registry_rows(table(s, d, "registry_rows"))).select("row_no", "corporate_number"), "row_no"),
+    "ingest_into_standing": lambda s, d: not_yet_there(latest_lines(registry_rows(table(s, d, "registry_rows"))), _companies(s, d)),
     "ingest_prepared": lambda s, d: prepare_entities(latest_lines(registry_rows(table(s, d, "registry_rows")))),
 }
 
@@ -189,6 +191,12 @@ def _count(inside):
 
 _JAPANESE = f"[{text.HIRAGANA}{text.KATAKANA}{text.IDEOGRAPHS}]"
 
+_FIRST_LINES = f"""SELECT row_no, corporate_number, name, nullif(furigana, '') AS furigana, nullif(prefecture_code, '') AS prefecture_code, nullif(city, '') AS city,
+        nullif(address, '') AS address, nullif(en_name, '') AS en_name FROM (
+        SELECT *, row_number() OVER (PARTITION BY corporate_number ORDER BY row_no) AS i FROM (
+          SELECT row_no, {', '.join(f"regexp_replace({c}, '^{_WS}+|{_WS}+$', '', 'g') AS {n}" for n, c in (('corporate_number', 'c1'), ('latest', 'c3'), ('name', 'c6'), ('furigana', 'c7'), ('prefecture_code', 'c8'), ('city', 'c9'), ('address', 'c10'), ('en_name', 'c24')))}
+          FROM registry_rows WHERE c8 IS NOT NULL) WHERE latest = '0' AND corporate_number <> '' AND name <> '') WHERE i = 1"""
+
 ORACLES = {
     "collapse_ws": f"SELECT id, trim(regexp_replace(name, '{_WS}+', ' ', 'g')) AS t FROM companies WHERE name IS NOT NULL",
     "strip_suffix_en": _EN_STRIPPED,
@@ -231,9 +239,7 @@ ORACLES = {
     "entity_projection": f"SELECT id, {', '.join(f.name for f in COMPANY.fields)} FROM companies",
     "lookup_by_ids": "SELECT id, corporate_number, name FROM companies JOIN search_requests ON id = query_id",
     "registry_stats": "SELECT (SELECT count(*) FROM companies) AS entity_count, (SELECT count(*) FROM company_ngrams) AS ngram_count",
-    "ingest_first_wins": f"""SELECT row_no, corporate_number, name, nullif(furigana, '') AS furigana, nullif(prefecture_code, '') AS prefecture_code, nullif(city, '') AS city,
-        nullif(address, '') AS address, nullif(en_name, '') AS en_name FROM (
-        SELECT *, row_number() OVER (PARTITION BY corporate_number ORDER BY row_no) AS i FROM (
-          SELECT row_no, {', '.join(f"regexp_replace({c}, '^{_WS}+|{_WS}+$', '', 'g') AS {n}" for n, c in (('corporate_number', 'c1'), ('latest', 'c3'), ('name', 'c6'), ('furigana', 'c7'), ('prefecture_code', 'c8'), ('city', 'c9'), ('address', 'c10'), ('en_name', 'c24')))}
-          FROM registry_rows WHERE c8 IS NOT NULL) WHERE latest = '0' AND corporate_number <> '' AND name <> '') WHERE i = 1""",
+    "ingest_first_wins": _FIRST_LINES,
+    "ingest_ids": f"SELECT row_no, corporate_number, row_number() OVER (ORDER BY row_no) AS id FROM ({_FIRST_LINES})",
+    "ingest_into_standing": f"SELECT * FROM ({_FIRST_LINES}) l WHERE NOT EXISTS (SELECT 1 FROM companies c WHERE c.corporate_number = l.corporate_number)",
 }

@@ -9,6 +9,7 @@ import zipfile
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -17,6 +18,7 @@ from linkspark.functions.romaji import to_romaji
 from linkspark.functions.text import strip, with_normalized
 from linkspark.operators.blocking import ngram_index
 from linkspark.operators.entity_types import COMPANY, EntityTypeConfig
+from linkspark.sources.tables import cut
 
 # The positions (from 0) of the columns of a registry line, and the number of its columns.
 POSITIONS = {"corporate_number": 1, "latest": 3, "name": 6, "furigana": 7, "prefecture_code": 8, "city": 9, "address": 10, "en_name": 24}
@@ -95,8 +97,33 @@ def latest_lines(lines: DataFrame) -> DataFrame:
     return first.select("row_no", *kept)
 
 
-def prepare_entities(lines: DataFrame, config: EntityTypeConfig = COMPANY, lexicon: dict[str, str] | None = None, strip_before_romaji: bool = False) -> DataFrame:
-    """The entity table of latest_lines, with ids in the order of the numbers' lines and the derived columns.
+def numbered(df: DataFrame, order: str, start: int = 0, name: str = "id") -> DataFrame:
+    """``df`` with ``name``: start + 1, start + 2, ... in the order of a column, which is unique.
+
+    Rows are sorted by ranges and written once; only the number of rows of each range goes to the driver, so that no
+    task ever counts through the whole table.
+    """
+    placed = cut(df.orderBy(order).withColumn("__at", F.monotonically_increasing_id()))
+    part = F.shiftright("__at", 33)
+    sizes = {r["p"]: r["n"] for r in placed.groupBy(part.alias("p")).agg(F.count("*").alias("n")).collect()}  # a row per partition
+    before, offsets = start, []
+    for p in sorted(sizes):
+        offsets.append((p, before))
+        before += sizes[p]
+    spark = df.sparkSession
+    offset = F.broadcast(spark.createDataFrame(offsets, "__p bigint, __before bigint"))
+    inside = F.col("__at") - F.shiftleft(F.col("__p"), 33)
+    out = placed.withColumn("__p", part.cast("long")).join(offset, "__p").withColumn(name, F.col("__before") + inside + 1)
+    return out.drop("__p", "__before", "__at")
+
+
+def not_yet_there(lines: DataFrame, standing: DataFrame, key: str = "corporate_number") -> DataFrame:
+    """The lines whose key has no row in the standing table: an insert ignores the others. Null keys are kept out."""
+    return lines.where(F.col(key).isNotNull()).join(standing.select(key).distinct(), key, "left_anti")
+
+
+def prepare_entities(lines: DataFrame, config: EntityTypeConfig = COMPANY, lexicon: dict[str, str] | None = None, strip_before_romaji: bool = False, start: int = 0) -> DataFrame:
+    """The entity table of latest_lines, with ids from start + 1 on in the order of the lines and the derived columns.
 
     The romanised name is that of the raw name, legal form included, unless strip_before_romaji is set.
     """
@@ -107,8 +134,7 @@ def prepare_entities(lines: DataFrame, config: EntityTypeConfig = COMPANY, lexic
     out = out.withColumn("phonetic_key", phonetic_key(F.col("name_romaji")))
     derived = [F.nullif(F.col(c), F.lit("")).alias(c) for c in ("name_romaji", "phonetic_key")]
     rest = [F.col(f.name) for f in config.fields if f.name not in ("name_romaji", "phonetic_key")]
-    ided = out.select(F.xxhash64("corporate_number").alias("id"), *rest, *derived)
-    return config.project(ided)
+    return config.project(numbered(out.select("row_no", *rest, *derived), "row_no", start))
 
 
 def write_registry(entities: DataFrame, config: EntityTypeConfig, path: str, mode: str = "append") -> None:
@@ -117,6 +143,24 @@ def write_registry(entities: DataFrame, config: EntityTypeConfig, path: str, mod
     ngram_index(entities, config.ngram_fields).repartitionByRange("ngram").write.mode(mode).parquet(f"{path}/{config.name}_ngrams")
 
 
+def insert_lines(spark: SparkSession, lines: DataFrame, config: EntityTypeConfig, path: str) -> int:
+    """Adds the entities of latest_lines that ``path`` doesn't hold yet, and their postings; gives how many.
+
+    Numbers that stand already keep their row and id; new ids go on behind the largest one.
+    """
+    start = 0
+    try:
+        standing = spark.read.parquet(f"{path}/{config.table}")
+    except AnalysisException:  # the first load
+        standing = None
+    if standing is not None:
+        start = standing.agg(F.max("id")).first()[0] or 0
+        lines = not_yet_there(lines, standing)
+    new = cut(prepare_entities(lines, config, start=start))
+    write_registry(new, config, path)
+    return new.count()
+
+
 def by_id(entities: DataFrame, config: EntityTypeConfig, entity_id: int) -> DataFrame:
     """The row of an id, in the declared columns."""
     return config.project(entities.where(F.col("id") == entity_id))

@@ -135,17 +135,63 @@ def test_service_and_batch(spark, company):
     s = Service(spark)
     s.attach("company", *company)
     assert s.health()["status"] == "healthy" and s.stats()["entity_count"] == len(NAMES)
-    assert s.search("Sony Corporation", 3)["matches"][0]["entity_name"] == "Sony Corporation"
-    assert s.match("Sony", "Sony")["final_score"] > 0.9
+    found = s.search("Sony Corporation", 3)
+    assert found["matches"][0]["entity_name"] == "Sony Corporation" and found["matches"][0]["entity_type"] == found["entity_type"] == "company"
+    assert found["query_forms"]["normalized"] == "sony" and found["query_forms"]["phonetic"] == "S50000" and "variants" not in found["query_forms"]
+    assert [x["step"] for x in found["processing_steps"]][:4] == ["language_detection", "normalization", "phonetic_encoding", "blocking"]
+    assert [x["step"] for x in found["processing_steps"]][4:] == ["scoring"] * len(found["matches"])
+    nothing = s.search("qqqq", 3)
+    assert nothing["matches"] == [] and [x["step"] for x in nothing["processing_steps"]] == ["language_detection", "normalization", "phonetic_encoding", "blocking"]
+    assert "variants" in s.search("ソニー", 1)["query_forms"]
+    told = s.match("Sony", "Sony")
+    assert told["final_score"] > 0.9 and [(x["step"], x["details"]["normalized"]) for x in told["explanation"]] == [("normalization_a", "sony"), ("normalization_b", "sony")]
     with pytest.raises(ValueError):
         s.search("", 3)
     with pytest.raises(KeyError):
         s.search("Sony", 3, "person")
     job = s.submit_batch([("Sony", 2), ("", 2), ("Toyota", None)], wait=True)
-    assert job.status == "completed" and [r.status for r in job.results] == ["ok", "error", "ok"] and job.results[1].matches == []
+    assert job.status == "completed" and [r["status"] for r in job.results] == ["ok", "error", "ok"] and job.results[1]["matches"] == []
+    assert [r["index"] for r in job.results] == [0, 1, 2] and job.completed == job.total == 3
+    best = job.results[0]["matches"][0]
+    assert best["rank"] == 1 and best["entity_type"] == "company" and best["entity_data"]["name"] == best["entity_name"]
     assert s.batch_status(job.id) is job and s.batch_status("none") is None
 
 
+def test_batch_isolates_what_fails(spark, company, monkeypatch):
+    from linkspark.operators import service
+
+    whole, seen = service.batch_results, []
+
+    def failing(resolver, requests):
+        texts = [r.query_text for r in requests.collect()]
+        seen.append(len(texts))
+        if "boom" in texts:
+            raise RuntimeError("no plan")
+        return whole(resolver, requests)
+
+    monkeypatch.setattr(service, "batch_results", failing)
+    s = Service(spark)
+    s.attach("company", *company)
+    s._batches["company"] = service.BatchManager(s.resolver(), slice_size=2)
+    job = s.submit_batch([("Sony", 1), ("boom", 1), ("Toyota", 1)], wait=True)
+    assert [r["status"] for r in job.results] == ["ok", "error", "ok"] and job.results[1]["error"] == "no plan" and job.results[1]["index"] == 1
+    assert seen == [2, 1, 1, 1] and job.status == "completed" and job.completed == 3
+
+
+def test_blocking_is_the_same_on_every_path(spark, company, monkeypatch):
+    from linkspark.operators import blocking
+
+    entities, ngrams = company
+    queries = spark.createDataFrame([(i, n) for i, n in enumerate(["sony", "toyota motor", "ソニー", "", None])], "query_id bigint, q string")
+    paths = []
+    for broadcast, many in ((1_000_000, 64), (1_000_000, 1), (0, 64)):
+        monkeypatch.setattr(blocking, "MOST_BROADCAST_GRAMS", broadcast)
+        monkeypatch.setattr(blocking, "MANY_TEXTS", many)
+        paths.append(sorted(map(tuple, blocking.trigram_block(queries, "q", ngrams, 5).collect())))
+        assert paths[-1] == sorted(map(tuple, blocking.trigram_block(queries, "q", ngrams.unionAll(ngrams), 5, repeated=True).collect()))
+    assert paths[0] == paths[1] == paths[2] and len(paths[0]) > 3
+
+
 def test_stream(spark, company, tmp_path):
     from linkspark.streaming.resolve_stream import resolve_stream
 
@@ -171,3 +217,24 @@ def test_components(spark):
     assert connected_components(spark.createDataFrame([], "a bigint, b bigint")).count() == 0
     m = spark.createDataFrame([(1, "b"), (1, "a"), (1, "a"), (2, "c"), (None, "d"), (2, None)], "g int, m string")
     assert [tuple(r) for r in pairs_within(m, "g", "m", "x", "y").collect()] == [("a", "b")]
+
+
+def test_insert_into_a_standing_registry(spark, tmp_path):
+    from linkspark.operators.entity_types import COMPANY
+    from linkspark.sources.registry import insert_lines, latest_lines, numbered
+
+    schema = "row_no bigint, corporate_number string, latest string, name string, furigana string, prefecture_code string, city string, address string, en_name string"
+    line = lambda i, number, name: (i, number, "0", name, None, "13", None, None, None)
+    first = spark.createDataFrame([line(5, "b", "Beta"), line(3, "a", "Alpha"), line(9, "a", "Other")], schema)
+    again = spark.createDataFrame([line(1, "a", "Newer"), line(2, "c", "Gamma"), line(4, "d", "Delta"), line(6, None, "x")], schema)
+    path = str(tmp_path)
+    assert insert_lines(spark, latest_lines(first), COMPANY, path) == 2
+    assert insert_lines(spark, latest_lines(again), COMPANY, path) == 2
+    assert insert_lines(spark, latest_lines(again), COMPANY, path) == 0
+    assert insert_lines(spark, latest_lines(first.limit(0)), COMPANY, path) == 0
+    rows = spark.read.parquet(f"{path}/companies").select("id", "corporate_number", "name").orderBy("id").collect()
+    assert [tuple(r) for r in rows] == [(1, "a", "Alpha"), (2, "b", "Beta"), (3, "c", "Gamma"), (4, "d", "Delta")]
+    postings = spark.read.parquet(f"{path}/company_ngrams")
+    assert {r.entity_id for r in postings.collect()} == {1, 2, 3, 4} and postings.count() == postings.distinct().count()
+    many = numbered(spark.range(0, 5000, 1, 7).selectExpr("5000 - id AS o"), "o", 10)
+    assert [tuple(r) for r in many.orderBy("id").collect()] == [(i, i + 10) for i in range(1, 5001)]
