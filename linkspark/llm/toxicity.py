@@ -244,9 +244,9 @@ def score_document(models: ClassModels, doc: list[tuple[str, ...]], memory: dict
 
 
 def fit(labelled: Labelled, names: frozenset = frozenset()) -> tuple[ClassModels, float]:
-    """Models and the threshold of the score: of those whose F1 over labelled documents that the models didn't know is the
-    best within TOLERANCE the one in the widest gap between scores, moved towards PRIOR_THRESHOLD as that weighs
-    PRIOR_WEIGHT unwanted labels."""
+    """Models and the threshold of the score: the strictest of those whose F1 over labelled documents that the models
+    didn't know is the best within TOLERANCE, as labelled documents are richer in unwanted ones than all are; moved
+    towards PRIOR_THRESHOLD as that weighs PRIOR_WEIGHT unwanted labels."""
     classes, held_out = divide(labelled, names)
     scored = [(score_document(held_out[i % len(held_out)], doc), label) for i, (doc, label) in enumerate(labelled)]
     scored = sorted(((x, label) for x, label in scored if x is not None), reverse=True)
@@ -256,10 +256,10 @@ def fit(labelled: Labelled, names: frozenset = frozenset()) -> tuple[ClassModels
         hits += label
         below = scored[i + 1][0] if i + 1 < len(scored) else x - 1
         if below < x:
-            cuts.append((2 * hits / (i + 1 + positives), x - below, (x + below) / 2))
-    best = max(f1 for f1, _, _ in cuts)
-    _, middle = max((gap, t) for f1, gap, t in cuts if f1 >= best - TOLERANCE)
-    threshold = (positives * middle + PRIOR_WEIGHT * PRIOR_THRESHOLD) / (positives + PRIOR_WEIGHT)
+            cuts.append((2 * hits / (i + 1 + positives), (x + below) / 2))
+    best = max(f1 for f1, _ in cuts)
+    strictest = max(t for f1, t in cuts if f1 >= best - TOLERANCE)
+    threshold = (positives * strictest + PRIOR_WEIGHT * PRIOR_THRESHOLD) / (positives + PRIOR_WEIGHT)
     return fit_models([(doc, c) for (doc, _), c in zip(labelled, classes)], names), threshold
 
 
