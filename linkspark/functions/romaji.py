@@ -7,7 +7,7 @@ from itertools import chain
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from linkspark.functions.kana import SYLLABLES
+from linkspark.functions.kana import SYLLABLES, kana_romaji
 
 # Long vowels and their short spellings, in the order in which they are replaced.
 LONG_VOWELS = [("ou", "o"), ("oo", "o"), ("uu", "u"), ("ii", "i"), ("ei", "e"), ("ee", "e"), ("aa", "a")]
@@ -17,14 +17,15 @@ def to_romaji(c: Column, lexicon: dict[str, str] | None = None) -> Column:
     """Lower-case Hepburn of the kana in the text, without blanks between words; null gives ''.
 
     lexicon: spellings of ideographs or words in kana, the longest of which are tried first; an ideograph without a
-    reading stays.
+    reading stays. Single ideographs are looked up like syllables, however many the lexicon has.
     """
     katakana = "".join(chr(x) for x in range(0x30A1, 0x30F7))
     hiragana = "".join(chr(x - 0x60) for x in range(0x30A1, 0x30F7))
     text = F.translate(F.coalesce(c, F.lit("")), katakana, hiragana)
-    for word in sorted(lexicon or {}, key=lambda w: (-len(w), w)):
+    words = lexicon or {}
+    for word in sorted((w for w in words if len(w) > 1), key=lambda w: (-len(w), w)):
         text = F.replace(text, F.lit(word), F.translate(F.lit(lexicon[word]), katakana, hiragana))
-    table = F.create_map(*[F.lit(x) for x in chain.from_iterable(SYLLABLES.items())])
+    table = F.create_map(*[F.lit(x) for x in chain.from_iterable((SYLLABLES | {w: kana_romaji(r) for w, r in words.items() if len(w) == 1}).items())])
     pairs = "|".join(k for k in SYLLABLES if len(k) == 2)
     units = F.regexp_extract_all(text, F.lit(f"((?s:{pairs}|.))"), 1)
     joined = F.array_join(F.transform(units, lambda u: F.coalesce(F.try_element_at(table, u), u)), "")

@@ -8,6 +8,7 @@ from linkspark.functions import phonetic, romaji, similarity, text
 from linkspark.operators.blocking import candidates, ngram_index, phonetic_block, trigram_block
 from linkspark.operators.entity_types import COMPANY
 from linkspark.operators.forms import with_query_forms
+from linkspark.operators.readings import COMMON_WORDS, company_lexicon, lexicon_of
 from linkspark.operators.resolver import Resolver, compare, unmatched, validated
 from linkspark.operators.service import batch_results
 from linkspark.plans import sql
@@ -31,8 +32,8 @@ def _requests(s, d):
     return validated(table(s, d, "search_requests"), SETTINGS)
 
 
-def _resolver(s, d):
-    return Resolver(_companies(s, d), _postings(s, d), COMPANY, SETTINGS, repeated_postings=True)
+def _resolver(s, d, lexicon=None):
+    return Resolver(_companies(s, d), _postings(s, d), COMPANY, SETTINGS, lexicon=lexicon, repeated_postings=True)
 
 
 _COUPLES = (("name", "name_normalized"), ("name", "furigana"), ("name_romaji", "en_name_normalized"), ("en_name", "en_name_normalized"))
@@ -58,6 +59,10 @@ def _strip(df, forms):
     return df.select("s_suppkey", "t", text.strip_forms(t, F.lower(t), forms).alias("stripped"))
 
 
+# Inline rows: words of ideographs and kana, and their romanisation.
+_WORDS = [("東京", "toukyou"), ("東京銀行", "toukyouginkou"), ("ソニー東京株式会社", "soniitoukyoukabushikigaisha"), ("三菱電機", "mitsubishidenki"), ("大阪ガス", "oosakagasu"), ("Sony", "sony"), ("", "")]
+
+
 def _forms(s, d):
     asked = _requests(s, d).where("status = 'ok'").groupBy("text").agg(F.min("query_id").alias("query_id"))
     return with_query_forms(asked, "text")
@@ -80,8 +85,8 @@ def _explained(s, d):
     return out.select("query_id", "rank", "entity_id", F.size("explanations").alias("n_steps"), kinds.alias("steps"), F.element_at("explanations", -1).input_value.alias("last_name"))
 
 
-def _resolved(s, d):
-    return _resolver(s, d).matches(_requests(s, d)).select("query_id", "rank", "entity_id", "entity_name", F.round("score", 6).alias("score"), "band", "best_strategy")
+def _resolved(s, d, lexicon=None):
+    return _resolver(s, d, lexicon).matches(_requests(s, d)).select("query_id", "rank", "entity_id", "entity_name", F.round("score", 6).alias("score"), "band", "best_strategy")
 
 
 def _compared(s, d):
@@ -103,6 +108,9 @@ QUERIES = {
     "language_detect": lambda s, d: _companies(s, d).select("id", text.detect_language(F.col("name")).alias("language"), text.is_japanese(F.col("name")).alias("japanese"), text.is_ideograph(F.col("name")).alias("ideograph")),
     "script_detect": lambda s, d: _companies(s, d).select("id", text.script(F.col("name")).alias("script")),
     "kana_romaji": lambda s, d: _companies(s, d).select("id", romaji.to_romaji(F.col("furigana")).alias("romaji")),
+    "place_romaji": lambda s, d: table(s, d, "prefectures").select("prefecture_code", romaji.to_romaji(F.col("pref_name"), lexicon_of(table(s, d, "prefectures"), "pref_name", "pref_romaji")).alias("romaji")),
+    "word_romaji": lambda s, d: s.createDataFrame([(w,) for w, _ in _WORDS], "w string").select("w", romaji.to_romaji(F.col("w"), COMMON_WORDS).alias("romaji")),
+    "name_romaji": lambda s, d: _companies(s, d).select("id", romaji.to_romaji(F.col("name"), company_lexicon(_companies(s, d))).alias("romaji")),
     "romaji_variants": lambda s, d: _companies(s, d).select("id", F.array_join(romaji.romaji_variants(F.col("name_romaji")), ",").alias("variants")),
     "phonetic_key": lambda s, d: _companies(s, d).select("id", phonetic.phonetic_key(F.col("name_romaji")).alias("key")),
     "sim_levenshtein": lambda s, d: _name_pairs(s, d).select("id", "couple", F.round(similarity.levenshtein(F.col("a"), F.col("b")), 6).alias("score")),
@@ -117,6 +125,7 @@ QUERIES = {
     "candidates_union": lambda s, d: candidates(_lookup_forms(s, d), _companies(s, d), _postings(s, d), SETTINGS, repeated=True).select("query_id", "entity_id", "channel", "channel_rank", "cand_ord"),
     "request_validation": lambda s, d: _requests(s, d).select("query_id", "limit", "status", "error"),
     "resolve_topk": _resolved,
+    "resolve_with_readings": lambda s, d: _resolved(s, d, company_lexicon(_companies(s, d))),
     "explain_running": _explained,
     "batch_resolve": lambda s, d: batch_results(_resolver(s, d), table(s, d, "search_requests")).select("query_id", F.size("matches").alias("n_matches"), "total_candidates", "status", "error"),
     "score_bands": lambda s, d: _resolved(s, d).groupBy("band").count().withColumnRenamed("count", "n"),
@@ -241,6 +250,8 @@ ORACLES = {
     "normalize_japanese": f"SELECT c.id, name, t AS normalized FROM companies c JOIN ({sql.normalized_japanese('SELECT id, name AS t FROM companies', 'id')}) n ON c.id = n.id",
     "normalize_english": f"SELECT c.id, en_name, t AS normalized FROM companies c JOIN ({sql.normalized_english('SELECT id, en_name AS t FROM companies', 'id')}) n ON c.id = n.id",
     "kana_romaji": f"SELECT id, {sql.romaji('furigana')} AS romaji FROM companies",
+    "place_romaji": "SELECT prefecture_code, lower(pref_romaji) AS romaji FROM prefectures",
+    "word_romaji": "SELECT * FROM (VALUES " + ", ".join(f"('{w}', '{r}')" for w, r in _WORDS) + ") t(w, romaji)",
     "ensemble_compare": f"""SELECT id, round(final_score, 6) AS final_score, round(jaro_winkler, 6) AS jaro_winkler, round(levenshtein, 6) AS levenshtein,
         round(token_sort, 6) AS token_sort, round(phonetic, 6) AS phonetic, best_strategy FROM {sql.ensemble(_COMPARED, 'id')}""",
     "strip_suffix_en": _EN_STRIPPED,

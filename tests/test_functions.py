@@ -129,3 +129,16 @@ def test_engines_agree(spark):
     for r in df.select("a", similarity.jaro_winkler(a, b), similarity.jaro_winkler(a, b, "column"), similarity.token_sort(a, b), similarity.token_sort(a, b, "column")).collect():
         assert r[1] == pytest.approx(r[2]) and r[3] == pytest.approx(r[4])
     assert df.select(similarity.levenshtein(F.lit("cat"), F.lit("hat"))).first()[0] == pytest.approx(2 / 3)
+
+
+def test_lexicon_of_ideographs(spark):
+    from linkspark.functions.romaji import to_romaji
+    from linkspark.operators.readings import company_lexicon, lexicon_of
+
+    compounds = {"富雪": "トミユキ", "富岡": "トミオカ", "白雪": "シロユキ", "白岡": "シロオカ", "富菊": "トミキク", "白菊": "シロキク"}
+    rows = [(f"ビエダク{k}", f"ビエダク{v}") for k, v in compounds.items()] + [(f"{k}ドサエケ商事", f"{v}ドサエケショウジ") for k, v in compounds.items()] + [(None, "ア"), ("", None)]
+    lexicon = company_lexicon(spark.createDataFrame(rows, "name string, furigana string"))
+    df = spark.createDataFrame([("東京",), ("富雪銀行",), ("白岡ソニー",), ("龍",), (None,), ("",)], "w string")
+    got = {r.w: r.r for r in df.select("w", to_romaji(F.col("w"), lexicon).alias("r")).collect()}
+    assert got == {"東京": "toukyou", "富雪銀行": "tomiyukiginkou", "白岡ソニー": "shirookasonii", "龍": "龍", None: "", "": ""}
+    assert lexicon_of(spark.createDataFrame([("a", "b"), (None, "c"), ("d", None)], "ideograph string, reading string")) == {"a": "b"}
