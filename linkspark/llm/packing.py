@@ -16,7 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from linkspark.llm.tokenizer import VOCABULARY, count_tokens
@@ -75,13 +75,13 @@ def _pack_stream(capacity: int, names: list[str]):
     return run
 
 
-def pack(sizes: DataFrame, id_column: str = "doc_id", size_column: str = "n_tokens", capacity: int = CAPACITY) -> DataFrame:
+def pack(sizes: DataFrame, id_column: str = "doc_id", size_column: str = "n_tokens", capacity: int = CAPACITY, tasks: int | None = None) -> DataFrame:
     """``(<id_column>, part, n_parts, shard, container, start, length)``: where every part of an item lies.
 
     ``(shard, container)`` names a container. Defined cases: an item above the capacity is split into parts that fill
     containers of their own and one rest; no other item is split. An item of size 0 or null takes no room and has one
     row with null shard, container and start. Repeated ids are packed each. The result doesn't depend on how the
-    table is partitioned.
+    table is partitioned. tasks: among how many the shards are dealt, by default one for each shard.
     """
     size = F.coalesce(F.col(size_column), F.lit(0)).cast("long")
     items = sizes.select(F.col(id_column).alias("k"), size.alias("n"))
@@ -97,7 +97,7 @@ def pack(sizes: DataFrame, id_column: str = "doc_id", size_column: str = "n_toke
     placed = placed.withColumn("shard", F.pmod("h", F.lit(shards)).cast("long"))
 
     streamed = placed.where("rest > 0").select("shard", F.struct("k", "n_parts", "whole").alias("key"), F.col("rest").alias("size"), "h")
-    streamed = streamed.repartition(min(shards, 4096), "shard").sortWithinPartitions("shard", "h", "size")
+    streamed = streamed.repartition(tasks or shards, "shard").sortWithinPartitions("shard", "h", "size")
     kind = sizes.schema[id_column].dataType.simpleString()
     first = cut(
         streamed.select("shard", F.struct("key", "size").alias("key"), "size").mapInArrow(
@@ -141,3 +141,20 @@ def containers(packed: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     per = packed.where(F.col("container").isNotNull()).groupBy("shard", "container").agg(F.sum("length").alias("used"), F.max(F.col("start") + F.col("length")).alias("upto"))
     tokens = F.coalesce(F.sum("used"), F.lit(0))
     return per.agg(F.count("*").alias("n_containers"), tokens.alias("n_tokens"), (F.count("*") * capacity - tokens).alias("unused"), F.coalesce(F.max("upto"), F.lit(0)).alias("fullest"))
+
+
+def packing_faults(packed: DataFrame, id_column: str = "doc_id", capacity: int = CAPACITY) -> DataFrame:
+    """``(n_items, n_overfull, n_overlapping, n_split_early, n_broken)`` of a packing: items, and what no packing may have.
+
+    Containers filled above the capacity, parts that begin before the one below them ends, items split that would fit,
+    and items whose parts aren't all there. Repeated ids count as one item here and must agree in all of this.
+    """
+    part = Window.partitionBy("shard", "container").orderBy("start", "length")
+    placed = packed.where(F.col("container").isNotNull())
+    over = placed.withColumn("gap", F.col("start") - F.lag(F.col("start") + F.col("length"), 1, 0).over(part))
+    full = over.groupBy("shard", "container").agg(F.sum("length").alias("used"), F.min("gap").alias("gap"), F.max(F.col("start") + F.col("length")).alias("upto"))
+    containers_ = full.agg(F.count_if((F.col("used") > capacity) | (F.col("upto") > capacity)).alias("n_overfull"), F.count_if(F.col("gap") < 0).alias("n_overlapping"))
+    items = packed.groupBy(id_column).agg(F.count("*").alias("n"), F.max("n_parts").alias("parts"), F.sum("length").alias("size"), F.count_distinct("part").alias("kinds"))
+    split = (F.col("parts") > 1) & (F.col("size") <= capacity)
+    totals = items.agg(F.count("*").alias("n_items"), F.count_if(split).alias("n_split_early"), F.count_if((F.col("kinds") != F.col("parts")) | (F.col("n") % F.col("parts") != 0)).alias("n_broken"))
+    return totals.crossJoin(containers_).select("n_items", "n_overfull", "n_overlapping", "n_split_early", "n_broken")  # one row each

@@ -5,7 +5,7 @@ from __future__ import annotations
 from linkspark.llm.addresses import places, same_place
 from linkspark.llm.fold import consistent_sql, disguised, with_consistent
 from linkspark.llm.names import organisations, same_organisation
-from linkspark.llm.packing import containers, pack_documents
+from linkspark.llm.packing import containers, pack_documents, packing_faults
 from linkspark.llm.tokenizer import count_tokens, decode, encode
 from linkspark.llm.toxicity import rates, score
 from linkspark.sources.tables import table
@@ -50,6 +50,7 @@ QUERIES = {
     "p8_found": lambda s, d: _scored(s, d).where("unwanted").select("doc_id"),
     "p8_scores": _scored,
     "p8_rates": lambda s, d: rates(_scored(s, d)),
+    "p7_faults": lambda s, d: packing_faults(pack_documents(_documents(s, d))),
     "p7_containers": lambda s, d: containers(pack_documents(_documents(s, d))),
 }
 
@@ -58,5 +59,6 @@ ORACLES = {
     "p4_found": f"SELECT id, field_name FROM ({consistent_sql(_VALUES, 'id, field_name')}) WHERE w <> v",
     "p4_consistent": f"""PIVOT (SELECT id, field_name, w FROM ({consistent_sql(_VALUES, 'id, field_name')}))
                          ON field_name IN ('name', 'name_normalized', 'address') USING max(w) GROUP BY id""",
+    "p7_faults": "SELECT count(DISTINCT doc_id) AS n_items, 0 AS n_overfull, 0 AS n_overlapping, 0 AS n_split_early, 0 AS n_broken FROM documents",
     "p6_round_trip": "SELECT doc_id, coalesce(text, '') AS text FROM documents",
 }

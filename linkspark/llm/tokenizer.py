@@ -19,11 +19,14 @@ from __future__ import annotations
 import base64
 import codecs
 import heapq
+import os
+import re
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import regex
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 
 from linkspark.llm.spread import spread
@@ -33,6 +36,8 @@ VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Characters read at a time, and the last ones of them that further text may still cut otherwise.
 CHUNK = 8192
 HOLD = 3
+#: Ids that are gathered before they leave a task, but for one text's own.
+EMITTED = 1 << 20
 #: Pieces whose ids a task remembers.
 REMEMBERED = 200_000
 
@@ -214,10 +219,21 @@ _OF_WORKER: dict[str, Transducer] = {}
 def transducer(vocabulary: str = VOCABULARY) -> Transducer:
     """The worker's transducer for a vocabulary file."""
     if vocabulary not in _OF_WORKER:
-        _OF_WORKER[vocabulary] = Transducer(load_ranks(vocabulary))
+        _OF_WORKER[vocabulary] = Transducer(load_ranks(_here(vocabulary)))
     return _OF_WORKER[vocabulary]
 
 
+def _send(df: DataFrame, vocabulary: str) -> None:
+    """Sends the driver's vocabulary file to the executors of a cluster, which need not have it in its place."""
+    sc = df.sparkSession.sparkContext
+    if not re.match(r"local(\[|$)", sc.master) and os.path.exists(vocabulary):
+        sc.addFile(vocabulary)
+
+
+def _here(vocabulary: str) -> str:
+    return vocabulary if os.path.exists(vocabulary) else SparkFiles.get(os.path.basename(vocabulary))
+
+
 def encode(df: DataFrame, id_column: str = "doc_id", text_column: str = "text", vocabulary: str = VOCABULARY) -> DataFrame:
     """``(<id_column>, ids ARRAY<INT>)``, one row per row of ``df``.
 
@@ -225,17 +241,20 @@ def encode(df: DataFrame, id_column: str = "doc_id", text_column: str = "text",
     ordinary text; repeated rows are encoded each. Other columns are ignored, whatever their names.
     """
     kind = df.schema[id_column].dataType.simpleString()
+    _send(df, vocabulary)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = transducer(vocabulary)
         for batch in batches:
             flat: list[np.ndarray] = []
-            ends = np.zeros(batch.num_rows + 1, np.int32)
+            ends, first = [0], 0
             for i, text in enumerate(batch.column(1)):
                 flat.append(np.array(t.ids(text.as_py()), np.int32))
-                ends[i + 1] = ends[i] + len(flat[-1])
-            values = pa.array(np.concatenate(flat) if flat else np.zeros(0, np.int32), pa.int32())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(ends), values)], [id_column, "ids"])
+                ends.append(ends[-1] + len(flat[-1]))
+                if ends[-1] >= EMITTED or i + 1 == batch.num_rows:
+                    lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(flat), pa.int32()))
+                    yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(flat)), lists], [id_column, "ids"])
+                    flat, ends, first = [], [0], i + 1
 
     return spread(df.select(id_column, text_column)).mapInArrow(run, f"`{id_column}` {kind}, ids array<int>")
 
@@ -243,6 +262,7 @@ def encode(df: DataFrame, id_column: str = "doc_id", text_column: str = "text",
 def count_tokens(df: DataFrame, id_column: str = "doc_id", text_column: str = "text", vocabulary: str = VOCABULARY) -> DataFrame:
     """``(<id_column>, n_tokens BIGINT)`` by the same transducer, without keeping ids."""
     kind = df.schema[id_column].dataType.simpleString()
+    _send(df, vocabulary)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = transducer(vocabulary)
@@ -256,9 +276,10 @@ def count_tokens(df: DataFrame, id_column: str = "doc_id", text_column: str = "t
 def decode(df: DataFrame, id_column: str = "doc_id", vocabulary: str = VOCABULARY) -> DataFrame:
     """``(<id_column>, text)`` from ``ids``; an empty or null list gives the empty text."""
     kind = df.schema[id_column].dataType.simpleString()
+    _send(df, vocabulary)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        d = Decoder(load_ranks(vocabulary))
+        d = Decoder(load_ranks(_here(vocabulary)))
         for batch in batches:
             texts = [d.text(x.as_py() or []) for x in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], [id_column, "text"])

@@ -45,13 +45,15 @@ def test_round_trip(text):
     assert decoder.text(machine.ids(text)) == text
 
 
-def test_encode_edges(spark):
+def test_encode_edges(spark, monkeypatch):
     rows = [(1, None, 5), (2, "", 5), (3, "  ", 5), (4, "hello world", 5), (4, "hello world", 5)]
     df = spark.createDataFrame(rows, "doc_id bigint, text string, ids int")
     got = sorted((r.doc_id, list(r.ids)) for r in T.encode(df).collect())
     assert got[0] == (1, []) and got[1] == (2, []) and len(got[2][1]) > 0 and got[3] == got[4] and len(got) == 5
     assert {r.doc_id: r.n_tokens for r in T.count_tokens(df).collect()} == {k: len(v) for k, v in got}
     assert T.encode(df.limit(0)).count() == 0
+    monkeypatch.setattr(T, "EMITTED", 3)
+    assert sorted((r.doc_id, list(r.ids)) for r in T.encode(df).collect()) == got
     assert {r.text for r in T.decode(T.encode(df)).collect()} == {"", "  ", "hello world"}
 
 
@@ -98,3 +100,7 @@ def test_pack_is_whole(spark, monkeypatch):
     assert sorted(map(tuple, again.select("doc_id", "length").collect())) == sorted((r.doc_id, r.length) for r in got)
     assert packing.pack(df.limit(0)).count() == 0
     assert packing.containers(packing.pack(df.limit(0))).first().n_containers == 0
+    # equal ids of one size, so that faults can be told by id
+    assert tuple(packing.packing_faults(packing.pack(df.where("doc_id <> 1"))).first()) == (399, 0, 0, 0, 0)
+    wrong = spark.createDataFrame([(7, 1, 1, 0, 0, 0, 2000), (8, 1, 2, 0, 0, 1500, 900)], "doc_id bigint, part bigint, n_parts bigint, shard bigint, container bigint, start bigint, length bigint")
+    assert tuple(packing.packing_faults(wrong).first()) == (2, 1, 1, 1, 1)
