@@ -167,6 +167,17 @@ def compare(pairs: DataFrame, a: str = "name_a", b: str = "name_b", config: Enti
     return staged.select(*[F.col(f"`{c}`") for c in pairs.columns], "result.final_score", "result.strategy_results", "result.best_strategy", *forms)
 
 
+def dedupe_pairs(resolver: Resolver, of: DataFrame, least: float = 0.9) -> DataFrame:
+    """``(id_a, id_b, score)``: pairs of different entities, one of them in ``of``, that a search for its name brings together.
+
+    Each name is searched like a request with the largest limit; a pair found from both sides has its better score.
+    Names that are no valid request find nothing.
+    """
+    names = of.select(F.col("id").alias("query_id"), F.col(resolver.config.display_field).alias("query_text"), F.lit(resolver.settings.max_limit).alias("max_results"))
+    found = resolver.matches(validated(names, resolver.settings)).where((F.col("score") >= least) & (F.col("query_id") != F.col("entity_id")))
+    return found.groupBy(F.least("query_id", "entity_id").alias("id_a"), F.greatest("query_id", "entity_id").alias("id_b")).agg(F.max("score").alias("score"))
+
+
 def unmatched(requests: DataFrame, matches: DataFrame) -> DataFrame:
     """Requests without any match."""
     return requests.join(matches.select("query_id").distinct(), "query_id", "left_anti")

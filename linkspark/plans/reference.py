@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from linkspark.functions import phonetic, romaji, similarity, text
+from linkspark.functions.register import register_functions
 from linkspark.operators.blocking import candidates, ngram_index, phonetic_block, trigram_block
 from linkspark.operators.entity_types import COMPANY
 from linkspark.operators.forms import with_query_forms
 from linkspark.operators.readings import COMMON_WORDS, company_lexicon, lexicon_of
-from linkspark.operators.resolver import Resolver, compare, unmatched, validated
+from linkspark.operators.resolver import Resolver, compare, dedupe_pairs, unmatched, validated
 from linkspark.operators.service import batch_results
 from linkspark.plans import sql
 from linkspark.settings import ResolverSettings
@@ -96,6 +97,14 @@ def _compared(s, d):
     return out.select("id", F.round("final_score", 6).alias("final_score"), *scores, "best_strategy")
 
 
+def _sql_functions(s, d):
+    register_functions(s)
+    _companies(s, d).createOrReplaceTempView("linkspark_companies")
+    return s.sql("""SELECT id, link_collapse_spaces(name) AS spaced, array_join(array_sort(link_trigrams(name_normalized)), '|') AS grams, link_phonetic_key(name_romaji) AS key,
+        link_language(name) AS language, round(link_levenshtein(name, name_normalized), 6) AS edits, round(link_jaro_winkler(name, name_normalized), 6) AS winkler,
+        round(link_token_sort(name_romaji, en_name_normalized), 6) AS tokens FROM linkspark_companies""")
+
+
 QUERIES = {
     "collapse_ws": lambda s, d: _companies(s, d).select("id", text.collapse_spaces(F.col("name")).alias("t")),
     "strip_suffix_en": lambda s, d: _strip(_suffixed(s, d, text.ENGLISH_FORMS, False), text.ENGLISH_FORMS),
@@ -129,6 +138,9 @@ QUERIES = {
     "explain_running": _explained,
     "batch_resolve": lambda s, d: batch_results(_resolver(s, d), table(s, d, "search_requests")).select("query_id", F.size("matches").alias("n_matches"), "total_candidates", "status", "error"),
     "score_bands": lambda s, d: _resolved(s, d).groupBy("band").count().withColumnRenamed("count", "n"),
+    "sql_functions": _sql_functions,
+    # the stated query set of searches: every entity whose id is divisible by 50, against all
+    "dedupe_pairs": lambda s, d: dedupe_pairs(_resolver(s, d), _companies(s, d).where("id % 50 = 0"), 0.7).withColumn("score", F.round("score", 6)),
     "unmatched_anti": lambda s, d: unmatched(_requests(s, d), cut(_resolver(s, d).matches(_requests(s, d)).select("query_id"))).select("query_id", "status"),
     "entity_projection": lambda s, d: COMPANY.project(_companies(s, d)),
     "lookup_by_ids": lambda s, d: by_ids(_companies(s, d), COMPANY, table(s, d, "search_requests").select("query_id", (-F.col("query_id")).alias("ord")), "query_id").select("id", "corporate_number", "name"),
@@ -288,6 +300,14 @@ ORACLES = {
         FROM (SELECT *, 'language_detection,normalization,' || CASE WHEN f.language = 'ja' THEN 'transliteration,' ELSE '' END || 'phonetic_encoding,blocking' || repeat(',scoring', rank::INT) AS steps
         FROM resolved s JOIN requests q ON s.query_id = q.query_id JOIN texts t ON q.text = t.t JOIN forms f ON f.query_id = t.query_id) r""",
     "score_bands": f"WITH {_RESOLVED} SELECT band, count(*) AS n FROM resolved GROUP BY band",
+    "sql_functions": f"""SELECT id, {sql.collapse('name')} AS spaced, coalesce(array_to_string(list_sort({_GRAMS.replace('T', 'name_normalized')}), '|'), '') AS grams, {_sql_key('name_romaji')} AS key,
+        {sql.language('name')} AS language, e.score AS edits, w.score AS winkler, t.score AS tokens FROM companies
+        JOIN (SELECT id AS i, couple, round({sql.levenshtein('x', 'y')}, 6) AS score FROM ({_LOWERED})) e ON id = e.i AND e.couple = 0
+        JOIN (SELECT id AS i, couple, CASE WHEN x IS NOT NULL AND y IS NOT NULL THEN round({sql.jaro_winkler('x', 'y')}, 6) END AS score FROM ({_LOWERED})) w ON id = w.i AND w.couple = 0
+        JOIN (SELECT id AS i, couple, CASE WHEN a IS NOT NULL AND b IS NOT NULL THEN round({sql.indel('u', 'v')}, 6) END AS score
+              FROM (SELECT *, {sql.sorted_words('a')} AS u, {sql.sorted_words('b')} AS v FROM ({_PAIRS}))) t ON id = t.i AND t.couple = 2""",
+    "dedupe_pairs": f"""WITH {_RESOLVED.replace('FROM search_requests', 'FROM (SELECT id AS query_id, name AS query_text, 50 AS max_results FROM companies WHERE id % 50 = 0)')}
+        SELECT least(query_id, entity_id) AS id_a, greatest(query_id, entity_id) AS id_b, round(max(score), 6) AS score FROM resolved WHERE score >= 0.7 AND query_id <> entity_id GROUP BY ALL""",
     "unmatched_anti": f"WITH {_RESOLVED} SELECT query_id, status FROM requests WHERE query_id NOT IN (SELECT query_id FROM resolved)",
     "batch_resolve": f"""WITH {_RESOLVED} SELECT r.query_id, coalesce(m.n, 0) AS n_matches, coalesce(c.n, 0) AS total_candidates, status, error FROM requests r
         LEFT JOIN (SELECT query_id, count(*) AS n FROM resolved GROUP BY query_id) m ON r.query_id = m.query_id

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 from dataclasses import dataclass, fields
 
 from pyspark.sql import SparkSession
@@ -22,6 +23,7 @@ class ResolverSettings:
 
     @classmethod
     def from_session(cls, spark: SparkSession) -> ResolverSettings:
-        found = {f.name: spark.conf.get(f"linkspark.{f.name}", None) for f in fields(cls)}
+        """``linkspark.<field>`` of the session, else ``LINKSPARK_<FIELD>`` of the environment, else the defaults."""
+        found = {f.name: spark.conf.get(f"linkspark.{f.name}", os.environ.get(f"LINKSPARK_{f.name.upper()}")) for f in fields(cls)}
         kinds = {f.name: type(f.default) for f in fields(cls)}
         return cls(**{k: kinds[k](v) for k, v in found.items() if v is not None})

@@ -161,6 +161,14 @@ def insert_lines(spark: SparkSession, lines: DataFrame, config: EntityTypeConfig
     return new.count()
 
 
+def write_answers(answers: DataFrame, path: str, form: str = "json", mode: str = "overwrite") -> None:
+    """Matches, comparisons or batch results as files: ``json`` and ``parquet`` keep lists and maps, ``csv`` holds them as JSON text."""
+    if form == "csv":
+        nested = [f.name for f in answers.schema.fields if f.dataType.typeName() in ("array", "map", "struct")]
+        answers = answers.withColumns({n: F.to_json(n) for n in nested})
+    answers.write.mode(mode).options(**({"header": "true"} if form == "csv" else {})).format(form).save(path)
+
+
 def by_id(entities: DataFrame, config: EntityTypeConfig, entity_id: int) -> DataFrame:
     """The row of an id, in the declared columns."""
     return config.project(entities.where(F.col("id") == entity_id))

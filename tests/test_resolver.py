@@ -238,3 +238,29 @@ def test_insert_into_a_standing_registry(spark, tmp_path):
     assert {r.entity_id for r in postings.collect()} == {1, 2, 3, 4} and postings.count() == postings.distinct().count()
     many = numbered(spark.range(0, 5000, 1, 7).selectExpr("5000 - id AS o"), "o", 10)
     assert [tuple(r) for r in many.orderBy("id").collect()] == [(i, i + 10) for i in range(1, 5001)]
+
+
+def test_settings_from_session_and_environment(spark, monkeypatch):
+    from linkspark.settings import ResolverSettings
+
+    monkeypatch.setenv("LINKSPARK_MAX_LIMIT", "7")
+    monkeypatch.setenv("LINKSPARK_MIN_SCORE_THRESHOLD", "0.5")
+    spark.conf.set("linkspark.max_limit", "9")
+    try:
+        got = ResolverSettings.from_session(spark)
+    finally:
+        spark.conf.unset("linkspark.max_limit")
+    assert (got.max_limit, got.min_score_threshold, got.default_limit) == (9, 0.5, 10)
+
+
+def test_answers_as_files(spark, company, tmp_path):
+    from linkspark.sources.registry import write_answers
+
+    r = Resolver(*company)
+    asked = validated(spark.createDataFrame([(1, "Sony", 3)], "query_id bigint, query_text string, max_results int"), r.settings)
+    found = r.matches(asked, payload=True)
+    for form in ("json", "parquet", "csv"):
+        write_answers(found, f"{tmp_path}/{form}", form)
+    back = spark.read.json(f"{tmp_path}/json")
+    assert back.count() == found.count() > 0 and back.orderBy("rank").first().entity_data.name == "Sony Corporation"
+    assert "Sony Corporation" in spark.read.csv(f"{tmp_path}/csv", header=True).where("rank = 1").first().entity_data
