@@ -252,3 +252,8 @@ def test_lines_and_given_names_are_learnt(spark):
     both = learnt(df, Lexicons())
     assert both.lines["商事"] == ("ショウジ", "trading", "trdg") and "陶芸" in both.lines and both.given["bob"] == "ロバート"
     assert learnt(df.limit(0), Lexicons.none()) == Lexicons.none()
+
+
+def test_very_long_names(spark):
+    rows = [("1", "ビエ" * 30_000, None, None), ("2", "ビエ" * 30_000, None, None), ("3", None, None, " ".join(f"w{i}" for i in range(20_000))), ("4", "ビエダク富雪" * 2_000 + "商事", None, None)]
+    assert {tuple(r) for r in same_organisation(spark.createDataFrame(rows, NAMES)).collect()} == {("1", "2")}
