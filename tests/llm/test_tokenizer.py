@@ -72,7 +72,7 @@ def test_sum_of_squares_rule():
         c, level = s.place(size)
         assert options[level] == min(options.values()) and fill.get(c, 0) == level
         fill[c] = level + size
-    assert max(fill.values()) <= 100 and sum(fill.values()) / (100 * len(fill)) > 0.9
+    assert max(fill.values()) <= 100 and sum(fill.values()) / (100 * len(fill)) > 0.965  # 0.9658 reached
 
 
 def test_pack_is_whole(spark, monkeypatch):
