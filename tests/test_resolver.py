@@ -192,6 +192,23 @@ def test_blocking_is_the_same_on_every_path(spark, company, monkeypatch):
     assert paths[0] == paths[1] == paths[2] and len(paths[0]) > 3
 
 
+def test_pairs_of_many_texts_stay_in_their_task(spark, monkeypatch):
+    from linkspark.operators import blocking, overlap
+
+    words = [f"{a}{b}{c} {c}{a}" for a in ("sony", "kabu", "shiki") for b in ("to", "ka", "gai", "sha") for c in ("moto", "ri", "n", "")]
+    entities = [(None if i == 7 else i, t, f) for i, t in enumerate(words) for f in ("name", "en")]
+    ngrams = ngram_index(spark.createDataFrame([(e, t, t[1:] if f == "en" else t) for e, t, f in entities if f == "en"], "id bigint, name string, en string"), ("name", "en"))
+    queries = spark.createDataFrame([(f"q{i}", t) for i, t in enumerate([*words, "kab", "zzz"])], "query_id string, q string")
+    few = sorted(map(str, blocking.trigram_block(queries, "q", ngrams, 9).collect()))
+    monkeypatch.setattr(blocking, "MANY_TEXTS", 1)
+    for block in (overlap.BLOCK_POSTINGS, 300):
+        monkeypatch.setattr(overlap, "BLOCK_POSTINGS", block)
+        many = blocking.trigram_block(queries, "q", ngrams, 9)
+        plan = many._jdf.queryExecution().toString()
+        assert "MapInArrow" in plan and "count(1)" not in plan  # no row for each pair that shares a gram
+        assert sorted(map(str, many.collect())) == few and len(few) > 300
+
+
 def test_stream(spark, company, tmp_path):
     from linkspark.streaming.resolve_stream import resolve_stream
 
