@@ -142,3 +142,16 @@ def test_lexicon_of_ideographs(spark):
     got = {r.w: r.r for r in df.select("w", to_romaji(F.col("w"), lexicon).alias("r")).collect()}
     assert got == {"東京": "toukyou", "富雪銀行": "tomiyukiginkou", "白岡ソニー": "shirookasonii", "龍": "龍", None: "", "": ""}
     assert lexicon_of(spark.createDataFrame([("a", "b"), (None, "c"), ("d", None)], "ideograph string, reading string")) == {"a": "b"}
+
+
+def test_kernels_of_many_pairs_give_each_pairs_own_score():
+    import random
+
+    from linkspark.functions import similarity
+
+    rnd = random.Random(5)
+    word = lambda letters, n: "".join(rnd.choice(letters) for _ in range(rnd.randint(0, n)))
+    pairs = [(word(letters, n), word(letters, n)) for letters in ("ab", "abcdefgh ", "a\0漢😀") for n in (1, 5, 30, 64, 80) for _ in range(150)]
+    pairs += [("a" * n, "a" * m) for n in (63, 64, 65) for m in (63, 64, 65)]
+    for kernel, together in ((similarity.jaro_winkler_of, similarity._jaro_winkler_together), (similarity.indel_ratio_of, similarity._indel_ratio_together)):
+        assert similarity._scores(*map(list, zip(*pairs)), kernel, together).tolist() == [kernel(a, b) for a, b in pairs]
