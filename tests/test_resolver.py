@@ -209,6 +209,18 @@ def test_pairs_of_many_texts_stay_in_their_task(spark, monkeypatch):
         assert sorted(map(str, many.collect())) == few and len(few) > 300
 
 
+def test_matches_are_the_same_by_broadcast_and_exchange(spark, company, monkeypatch):
+    from linkspark.operators import resolver
+
+    r = Resolver(*company)
+    checked = validated(spark.createDataFrame([(1, "Sony", 1), (2, "Sony", 2), (3, "toyota motor", None)], "query_id bigint, query_text string, max_results int"), r.settings)
+    found = []
+    for most in (50_000, 0):
+        monkeypatch.setattr(resolver, "MOST_BROADCAST_TEXTS", most)
+        found.append(sorted((x.query_id, x.rank, x.entity_id, x.score) for x in r.matches(checked).collect()))
+    assert found[0] == found[1] and [x[:2] for x in found[0]][:1] == [(1, 1)] and sum(x[0] == 1 for x in found[0]) == 1
+
+
 def test_stream(spark, company, tmp_path):
     from linkspark.streaming.resolve_stream import resolve_stream
 
