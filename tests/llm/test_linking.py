@@ -257,3 +257,31 @@ def test_lines_and_given_names_are_learnt(spark):
 def test_very_long_names(spark):
     rows = [("1", "ビエ" * 30_000, None, None), ("2", "ビエ" * 30_000, None, None), ("3", None, None, " ".join(f"w{i}" for i in range(20_000))), ("4", "ビエダク富雪" * 2_000 + "商事", None, None)]
     assert {tuple(r) for r in same_organisation(spark.createDataFrame(rows, NAMES)).collect()} == {("1", "2")}
+
+
+def test_long_names_link_by_a_slip(spark):
+    rng = random.Random(5)
+    kana = "".join(rng.choice("カキクケコサシスセソタチツテトナニヌネノ") for _ in range(900))
+    other = "".join(rng.choice("カキクケコサシスセソタチツテトナニヌネノ") for _ in range(900))
+    writings = [kana, kana[:300] + "ハ" + kana[301:], kana[500:] + kana[:500], other, other[:100] + "ハ" + other[101:700] + "ヒ" + other[701:]]
+    rows = [(str(i), x, None, None) for i, x in enumerate(writings)]
+    assert {tuple(r) for r in same_organisation(spark.createDataFrame(rows, NAMES)).collect()} == {("0", "1"), ("0", "2"), ("1", "2")}
+
+
+def test_rolling_hashes_find_what_substrings_find(spark, monkeypatch):
+    rng = random.Random(6)
+    forms = set()
+    for _ in range(60):
+        x = "".join(rng.choice("kstnaiueo") for _ in range(rng.randint(8, 24)))
+        forms.add(x)
+        for _ in range(3):
+            i = rng.randrange(len(x))
+            y = x[:i] + rng.choice(["", "k", "sa", x[i + 1 : i + 2] + x[i]]) + x[i + 1 :]
+            turn = rng.choice([0, rng.randrange(len(y))])
+            forms.add(y[turn:] + y[:turn])
+    df = spark.createDataFrame([(i, rng.choice("pq"), x) for i, x in enumerate(sorted(forms)) if len(x) >= 8], "id long, block string, form string").cache()
+    found = {tuple(r) for r in segment_join(df).collect()}
+    assert len(found) > 40
+    for longest in (1, 15):
+        monkeypatch.setattr("linkspark.llm.names.LONGEST", longest)
+        assert {tuple(r) for r in segment_join(df).collect()} == found
