@@ -293,3 +293,10 @@ def test_answers_as_files(spark, company, tmp_path):
     back = spark.read.json(f"{tmp_path}/json")
     assert back.count() == found.count() > 0 and back.orderBy("rank").first().entity_data.name == "Sony Corporation"
     assert "Sony Corporation" in spark.read.csv(f"{tmp_path}/csv", header=True).where("rank = 1").first().entity_data
+
+
+def test_similarities_are_computed_once(spark, company):
+    r = Resolver(*company)
+    ready = r.prepared(validated(spark.createDataFrame([(1, "ソニー", 5)], "query_id long, query_text string, max_results int"), r.settings))
+    plan = r.ranked(ready)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("levenshtein(") == len(r.config.text_pairs)
