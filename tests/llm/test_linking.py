@@ -1,4 +1,5 @@
 import random
+import re
 
 import pytest
 
@@ -285,3 +286,13 @@ def test_rolling_hashes_find_what_substrings_find(spark, monkeypatch):
     for longest in (1, 15):
         monkeypatch.setattr("linkspark.llm.names.LONGEST", longest)
         assert {tuple(r) for r in segment_join(df).collect()} == found
+
+
+def planned_joins(df, key):
+    """Names of the planned joins on the key."""
+    return set(re.findall(rf"(\w+Join)\b[^\n]*\b{key}#", df._jdf.queryExecution().executedPlan().toString()))
+
+
+def test_exploded_windows_of_spellings_are_not_broadcast(spark):
+    forms = spark.range(40).selectExpr("id", "'x' AS block", "concat('tomiyukibiedaku', substring('aiueoaiueo', CAST(id % 5 AS INT), 3)) AS form")
+    assert planned_joins(segment_join(forms, 20), "h") == {"SortMergeJoin"}
