@@ -270,7 +270,8 @@ def _meeting_towns(forms: DataFrame) -> DataFrame:
         every = F.array_distinct(F.concat(F.expr(_WRITTEN), F.expr(keys)))
         return forms.select(F.col("id").alias(name), "lots", "kind", F.explode(every).alias("key")).select(F.xxhash64("lots", "kind", "key").alias("h"), name)
 
-    met = side(_SEGMENTS, "x").join(side(_PARTS, "y"), "h").where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    # merged, never broadcast: estimates count an exploded row as one, so that either side may be many times what it is taken for
+    met = side(_SEGMENTS, "x").join(side(_PARTS, "y").hint("merge"), "h").where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
     fields = F.struct("id", *_FIELDS)
     whole = met.join(forms.select(F.col("id").alias("a"), fields.alias("l")), "a").join(forms.select(F.col("id").alias("b"), fields.alias("r")), "b")
     return whole.where((F.col("l.lots") == F.col("r.lots")) & (F.col("l.kind") == F.col("r.kind")) & _one_place()).select("a", "b")

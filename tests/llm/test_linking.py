@@ -4,7 +4,7 @@ import re
 import pytest
 
 from linkspark.functions.kana import kana_romaji
-from linkspark.llm.addresses import AddressParser, number, same_place, same_place_pairs
+from linkspark.llm.addresses import AddressParser, _meeting_towns, number, same_place, same_place_pairs
 from linkspark.llm.lexicons import Lexicons, learnt
 from linkspark.llm.names import NameParser, _near, one_slip, same_organisation, segment_join
 from linkspark.llm.readings import plain_spelling, reading_lexicon
@@ -296,3 +296,8 @@ def planned_joins(df, key):
 def test_exploded_windows_of_spellings_are_not_broadcast(spark):
     forms = spark.range(40).selectExpr("id", "'x' AS block", "concat('tomiyukibiedaku', substring('aiueoaiueo', CAST(id % 5 AS INT), 3)) AS form")
     assert planned_joins(segment_join(forms, 20), "h") == {"SortMergeJoin"}
+
+
+def test_exploded_pieces_of_towns_are_not_broadcast(spark):
+    forms = spark.range(40).selectExpr("id", "'13' AS prefecture", "'x' AS city", "'x' AS city_read", "concat('tomi', id) AS town", "concat('tomi', id) AS town_read", "'' AS kind", "'1-1' AS lots")
+    assert planned_joins(_meeting_towns(forms), "h") == {"SortMergeJoin"}
